@@ -11,7 +11,8 @@ import re
 from collections import Counter
 
 # The written forms that are labelled.
-EMAIL = re.compile(r"[\w.+'-]*\w\s?(?:@|\[at\]|\(at\))\s?(?:[\w-]+\.)+[^\W\d_]{2,}", re.I)
+_DOT = r"(?:\.|\s?[\[(](?:dot|punkt|point|punto|точка|крапка)[\])]\s?)"
+EMAIL = re.compile(rf"[\w.+'-]*\w\s?(?:@|\[at\]|\(at\))\s?(?:[\w-]+{_DOT})+[^\W\d_]{{2,}}", re.I)
 PHONE = re.compile(
     r"(?<![\w.+-])(?:\+\d[\d ()-]{8,18}\d|00\d\d(?: \d{2,4}){3,4}|\(\d{3}\) \d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|8 \d{3} \d{3} \d\d \d\d|0\d\d \d{4} \d{4})(?![\w-])"
 )
@@ -23,7 +24,7 @@ ADDRESS = re.compile(
     rf"(?<!\w)(?:\d{{1,4}}[a-z]? (?:{_CAP} ){{1,3}}(?:Lane|Road|Close|Avenue|Street|St\.?)(?!\w)(?:, (?:Flat|Apt\.?) \d+)?"
     rf"|\d{{1,4}}(?: bis| ter)? (?:rue|avenue|impasse|boulevard|place|chemin) (?:des?|du|de la)(?: {_CAP}){{1,2}}"
     rf"|{_CAP} (?:Allee|Weg|Stra(?:ß|ss)e|Str\.) \d+[a-z]?(?:, \d{{5}})?"
-    rf"|(?:Avda\.|C/|Calle|Avenida|Plaza|Paseo)(?: de)?(?: {_CAP}){{1,2}} \d+(?:, (?:piso \d+|\dº \w))?"
+    rf"|(?:Avda\.|C/|Calle|Avenida|Plaza|Paseo)(?: (?:de|del|la|las|el|los)){{0,2}}(?: {_CAP}){{1,3}} \d+(?:, (?:piso \d+|\dº \w))?"
     rf"|(?:ул\.|улица|пер\.|переулок|вул\.|вулиця|пров\.|провулок)(?: {_CAP}){{1,2}}, (?:(?:д\.|дом|буд\.) )?\d+(?:, кв\. \d+)?)",
     re.I,
 )

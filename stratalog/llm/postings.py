@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 SAMPLE = 20_000  # vectors of a space that the clusters are fitted on
-LIST = 200  # vectors a list should own
+LIST = 1_000  # vectors a list should own
 MOST_LISTS = 2_048  # per space, so that centroids and graph stay within a few MB
 DEGREE = 16  # links of a centroid in the graph
 BEAM = 24  # centroids a search keeps
-WRITE, WRITE_RATIO = 4, 1.12  # most lists a vector is written to; how much farther they may be than the nearest
-READ, READ_RATIO = 8, 1.22  # the same of the lists a query reads
+WRITE, WRITE_RATIO = 4, 1.2  # most lists a vector is written to; how much farther they may be than the nearest
+READ, READ_RATIO = 4, 1.2  # the same of the lists a query reads
 BLOCK = 20_000  # members of one list that are searched together; larger lists are cut
 
 
@@ -209,7 +209,7 @@ def neighbours(df: DataFrame, item: str, space: str, vector: str, dim: str, rank
         for at in range(0, len(q), 1024) if len(ids) else ():
             s = x[at : at + 1024] @ y.T
             s[q[at : at + 1024, None] == ids[None]] = -np.inf
-            m = min(k + 1, len(ids))
+            m = min(k, len(ids))
             top = np.argpartition(-s, m - 1, axis=1)[:, :m]
             val = np.take_along_axis(s, top, 1)
             fine = np.isfinite(val)
@@ -219,7 +219,7 @@ def neighbours(df: DataFrame, item: str, space: str, vector: str, dim: str, rank
 
     met = lists.groupBy("s", "l", "block").applyInPandas(meet, "v long, o long, cos float").repartition("v")
     met = met.groupBy("v", "o").agg(F.max("cos").alias("cos"))
-    near = met.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy(F.desc("cos"), "o"))).where(F.col("r") <= k + 1).select("v", "o", F.col("cos").cast("double").alias("cos"))
+    near = met.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy(F.desc("cos"), "o"))).where(F.col("r") <= k).select("v", "o", F.col("cos").cast("double").alias("cos"))
     members = rows.groupBy("space", "id").agg(F.min_by("v", F.struct("rank", "v")).alias("v"))
     first = members.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1)
     first = first.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # at most k + 1 entries

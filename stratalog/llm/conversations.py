@@ -1,9 +1,10 @@
 """Rebuilding conversations from message rows with keyed streaming state.
 
-Messages stream in, keyed by conversation and a block of ordinals, so that a conversation of any
-length is spread over many keys.  State buffers a block's messages, each id once, however late or
+Messages stream in by conversation and block of ordinals, so that a conversation of any length is
+spread over many blocks; a state holds the blocks of one hash bucket, which saves the cost of a
+state for each short conversation.  It buffers a block's messages, each id once, however late or
 out of order they come within the watermark; when the watermark passes the block's last event by
-the idle time, the block is closed: its turns and a summary are emitted and its state is dropped.
+the idle time, the block is closed: its turns and a summary are emitted and its rows are dropped.
 Block summaries are then joined in order, and only conversations that can be read as such remain.
 """
 
@@ -18,12 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..session import shared_dir, ship
+from ..session import parallelism, shared_dir, ship
 
 BLOCK = 2_048  # ordinals of one conversation that share a state
 _EDGE = r"[\s\p{Z}\u200B-\u200D\u2060\uFEFF]"
 ROLES = {"user": "user human", "assistant": "assistant ai bot model", "system": "system", "tool": "tool"}  # fixed values
-STATE = T.StructType([T.StructField("rows", T.ArrayType(T.StringType())), T.StructField("broken", T.BooleanType()), T.StructField("last", T.LongType())])
+BUCKET_BYTES = 256_000  # bytes of the archive's files for each hash bucket
+STATE = T.StructType([T.StructField("rows", T.ArrayType(T.StringType())), T.StructField("blocks", T.ArrayType(T.StringType()))])
 OUT = (
     "conversation_id string, block long, kind string, ordinal long, role string, text string, n long, lo long, hi long, "
     "broken boolean, unreadable boolean, filled long, users long, skipped boolean, first string, last string"
@@ -50,10 +52,10 @@ def moment(c: Column) -> Column:
     return F.coalesce(F.when(n > 1e11, F.timestamp_millis(n.cast("long"))).when(n > 1e8, F.timestamp_seconds(n)), c.try_cast("timestamp"))
 
 
-def prepare(messages: DataFrame, with_text: bool) -> DataFrame:
+def prepare(messages: DataFrame, with_text: bool, buckets: int = 256) -> DataFrame:
     """Rows as the state machine takes them; rows without a conversation are dropped."""
     text = F.col("raw_text") if with_text else F.lit(None).cast("string")
-    return messages.where("conversation_id is not null").select(
+    rows = messages.where("conversation_id is not null").select(
         "conversation_id",
         F.coalesce(F.floor((F.col("ordinal") - 1) / BLOCK), F.lit(-1)).cast("long").alias("block"),
         F.coalesce("id", F.lit("")).alias("id"),
@@ -64,12 +66,13 @@ def prepare(messages: DataFrame, with_text: bool) -> DataFrame:
         # a time that is missing or outside 1970 to 2099 says nothing about when the row belongs
         F.coalesce(F.when(moment(F.col("time_utc")).between("1970-01-02", "2099-01-01"), moment(F.col("time_utc"))), F.timestamp_seconds(F.lit(86_400))).alias("event_time"),
     )
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("conversation_id", "block"), F.lit(buckets)).cast("int"))
 
 
 SEP = "\x1f"
 
 
-def summary(rows: list[list[str]], broken: bool) -> dict:
+def summary(rows: list[tuple], broken: bool) -> dict:
     """What a block's messages, in order, say about their conversation."""
     first = last = None
     users = filled = 0
@@ -83,40 +86,66 @@ def summary(rows: list[list[str]], broken: bool) -> dict:
                 users += 1
                 skipped |= last == "user"
             first, last = first or role, role
-    o = [int(r[0]) for r in rows]
+    o = [r[0] for r in rows]
     return {"n": len(o), "lo": min(o, default=None), "hi": max(o, default=None), "broken": broken, "unreadable": any(not r[1] for r in rows), "filled": filled, "users": users, "skipped": skipped, "first": first, "last": last}
 
 
 def machine(idle_ms: int, with_text: bool):
-    """The state function of one (conversation, block)."""
+    """The state function of one bucket of (conversation, block)."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        conv, block = key
-        if state.hasTimedOut:
-            rows, broken, _ = state.get
-            state.remove()
-            rows = sorted((r.split(SEP, 4) for r in rows), key=lambda r: int(r[0]))
-            out = [{"kind": "block"} | summary(rows, broken)]
+    def close(blocks: dict, rows: dict, due: list) -> pd.DataFrame:
+        out: dict[str, list] = {c: [] for c in _COLS}
+
+        def add(conv: str, block: int, **kw) -> None:
+            for c, v in out.items():
+                v.append(kw.get(c))
+            out["conversation_id"][-1], out["block"][-1] = conv, block
+
+        for key in due:
+            conv, block = key
+            _, broken = blocks.pop(key)
+            own = sorted(((o, *r.split(SEP, 3)) for o, r in rows.pop(key, {}).items()), key=lambda r: r[0])
+            add(conv, block, kind="block", **summary(own, broken))
             if with_text:
-                out += [{"kind": "turn", "ordinal": int(o), "role": role or None, "text": text} for o, role, empty, _, text in rows if empty == "0"]
-            df = pd.DataFrame(out).reindex(columns=_COLS)
-            df["conversation_id"], df["block"] = conv, block
-            yield df
-            return
-        kept, broken, last = state.get if state.exists else ([], False, 0)
-        by = {int(r.split(SEP, 1)[0]): r for r in kept}
+                for o, role, empty, _, text in own:
+                    if empty == "0":
+                        add(conv, block, kind="turn", ordinal=o, role=role or None, text=text)
+        return pd.DataFrame(out)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept, heads = state.get if state.exists else ([], [])
+        blocks: dict[tuple[str, int], list] = {}
+        rows: dict[tuple[str, int], dict[int, str]] = {}
+        for h in heads:
+            conv, block, last, broken = h.split(SEP)
+            blocks[conv, int(block)] = [int(last), broken == "1"]
+        for r in kept:
+            conv, block, o, rest = r.split(SEP, 3)
+            rows.setdefault((conv, int(block)), {})[int(o)] = rest
         for b in batches:
-            for o, i, role, empty, text, t in zip(b["ordinal"], b["id"], b["role"], b["blank"], b["text"], b["event_time"]):
-                last = max(last, int(t.value // 1_000_000))
+            times = b["event_time"].astype("datetime64[ms]").astype("int64").tolist()
+            for conv, block, o, i, role, empty, text, t in zip(b["conversation_id"], b["block"].tolist(), b["ordinal"].tolist(), b["id"], b["role"], b["blank"].tolist(), b["text"], times):
+                head = blocks.setdefault((conv, block), [0, False])
+                head[0] = max(head[0], t)
                 if o is None or o != o:
-                    broken = True
+                    head[1] = True
                     continue
-                row = SEP.join((str(int(o)), role or "", "1" if empty else "0", i, text or ""))
-                old = by.setdefault(int(o), row)
+                row = SEP.join((role or "", "1" if empty else "0", i, text or ""))
+                old = rows.setdefault((conv, block), {}).setdefault(int(o), row)
                 # an ordinal held by another message breaks the conversation: no further row of it is kept
-                broken |= old.split(SEP, 4)[3] != i
-        state.update((list(by.values()), bool(broken), int(last)))
-        state.setTimeoutTimestamp(max(last + idle_ms, state.getCurrentWatermarkMs() + 1))
+                head[1] |= old.split(SEP, 3)[2] != i
+        mark = state.getCurrentWatermarkMs()
+        due = [k for k, (last, _) in blocks.items() if state.hasTimedOut and last + idle_ms <= mark]
+        if due:
+            yield close(blocks, rows, due)
+        if not blocks:
+            state.remove()
+            return
+        state.update((
+            [SEP.join((c, str(n), str(o), r)) for (c, n), own in rows.items() for o, r in own.items()],
+            [SEP.join((c, str(n), str(last), "1" if broken else "0")) for (c, n), (last, broken) in blocks.items()],
+        ))
+        state.setTimeoutTimestamp(max(min(last for last, _ in blocks.values()) + idle_ms, mark + 1))
 
     return step
 
@@ -127,7 +156,7 @@ def stream(messages: DataFrame, delay: str = "1 day", idle_ms: int = 86_400_000,
     delay is how late a row may come by event time; a block is closed idle_ms after its last event.
     """
     ship(messages.sparkSession)
-    return messages.withWatermark("event_time", delay).groupBy("conversation_id", "block").applyInPandasWithState(machine(idle_ms, with_text), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return messages.withWatermark("event_time", delay).groupBy("bucket").applyInPandasWithState(machine(idle_ms, with_text), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def replay(spark: SparkSession, path: str, with_text: bool = True, files_per_batch: int | None = None, delay: str = "36500 days") -> DataFrame:
@@ -144,12 +173,14 @@ def replay(spark: SparkSession, path: str, with_text: bool = True, files_per_bat
     folder, staged = hadoop(f"{own}/close"), hadoop(f"{own}/close-staged")
     fs = folder.getFileSystem(sc._jsc.hadoopConfiguration())
     fs.mkdirs(folder)
+    size = hadoop(path).getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(hadoop(path)).getLength()
+    buckets = max(parallelism(spark), size // BUCKET_BYTES)
     rows = spark.readStream.schema(spark.read.parquet(path).schema)
     rows = (rows.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else rows).parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern may also name a single file
     control = spark.readStream.schema("time_utc string").parquet(f"{own}/close")
     end = control.select(
         F.lit("").alias("conversation_id"), F.lit(-2).cast("long").alias("block"), F.lit("").alias("id"), F.lit(None).cast("long").alias("ordinal"),
-        F.lit(None).cast("string").alias("role"), F.lit(True).alias("blank"), F.lit(None).cast("string").alias("text"), moment(F.col("time_utc")).alias("event_time"),
+        F.lit(None).cast("string").alias("role"), F.lit(True).alias("blank"), F.lit(None).cast("string").alias("text"), moment(F.col("time_utc")).alias("event_time"), F.lit(-1).alias("bucket"),
     )
     def close() -> None:
         for f in fs.listStatus(staged):
@@ -157,7 +188,7 @@ def replay(spark: SparkSession, path: str, with_text: bool = True, files_per_bat
                 fs.rename(f.getPath(), hadoop(f"{own}/close/{f.getPath().getName()}"))
 
     def run() -> None:
-        q = stream(prepare(rows, with_text).unionByName(end), delay, with_text=with_text).writeStream.format("parquet")
+        q = stream(prepare(rows, with_text, buckets).unionByName(end), delay, with_text=with_text).writeStream.format("parquet")
         q.option("path", f"{own}/out").option("checkpointLocation", f"{own}/progress").trigger(availableNow=True).start().awaitTermination()
 
     if files_per_batch:

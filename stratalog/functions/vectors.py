@@ -28,8 +28,9 @@ def finite(a: Column) -> Column:
 
 def scaled(a: Column) -> Column:
     """The vector at length one, as doubles; a zero vector as it is."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    # bound in arrays of one element, so that neither the vector nor its norm is computed again for each entry
+    one = F.transform(F.array(a), lambda v: F.struct(v.alias("v"), norm(v).alias("n")))
+    return F.transform(one, lambda s: F.transform(s["v"], lambda x: F.when(s["n"] > 0, x.cast("double") / s["n"]).otherwise(x.cast("double"))))[0]
 
 
 def hashed_vector(text: Column, dim: int = 16) -> Column:

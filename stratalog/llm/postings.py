@@ -220,11 +220,14 @@ def neighbours(df: DataFrame, item: str, space: str, vector: str, dim: str, rank
     met = lists.groupBy("s", "l", "block").applyInPandas(meet, "v long, o long, cos float").repartition("v")
     met = met.groupBy("v", "o").agg(F.max("cos").alias("cos"))
     near = met.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy(F.desc("cos"), "o"))).where(F.col("r") <= k).select("v", "o", F.col("cos").cast("double").alias("cos"))
-    members = rows.groupBy("space", "id").agg(F.min_by("v", F.struct("rank", "v")).alias("v"))
+    number = F.create_map(*[F.lit(x) for k_, name in enumerate(names) for x in (name, k_)]) if names else F.create_map(F.lit(""), F.lit(-1))
+    members = rows.select(F.element_at(number, F.col("space")).alias("s"), "id", "rank", "v").groupBy("s", "id").agg(F.min_by("v", F.struct("rank", "v")).alias("v"))
     first = members.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1)
     first = first.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # at most k + 1 entries
     links = near.unionByName(first.where(F.size("ids") > 1).select("v", F.col("v").alias("o"), F.lit(1.0).alias("cos")))
-    pairs = members.join(links, "v").join(first.select(F.col("v").alias("o"), "ids"), "o").select("space", "id", "cos", F.explode("ids").alias("other")).where("id <> other")
-    place = F.row_number().over(Window.partitionBy("space", "id").orderBy(F.desc("cos"), "other"))
-    best = pairs.withColumn("place", place).where(F.col("place") <= k)
-    return best.select(F.col("space").alias(space), F.col("id").alias(item), "other", F.col("cos").alias("cosine"), "place")
+    others = links.join(first.select(F.col("v").alias("o"), "ids"), "o").select("v", (-F.col("cos")).alias("far"), F.explode("ids").alias("other"))
+    # of a vector's links at most (k + 1)² names; an item takes the first k that aren't itself
+    ahead = others.groupBy("v").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "other"))), 1, k + 1).alias("a"))
+    best = members.join(ahead, "v").select("s", "id", F.posexplode(F.slice(F.filter("a", lambda x: x["other"] != F.col("id")), 1, k)).alias("p", "x"))
+    space_name = F.element_at(F.array(*map(F.lit, names or [""])), F.col("s") + 1)
+    return best.select(space_name.alias(space), F.col("id").alias(item), F.col("x.other").alias("other"), (-F.col("x.far")).alias("cosine"), (F.col("p") + 1).alias("place"))

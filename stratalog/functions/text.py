@@ -66,7 +66,7 @@ def information_score(text: Column) -> Column:
     marks = F.length(F.regexp_replace(s, r"[^:;,.!?\-—()\[\]{}]", "")) / F.greatest(F.length(s), F.lit(1))
     rich = F.least(F.lit(1.0), F.lit(0.35) + F.least(terms, F.lit(14)) / 20 - F.greatest(F.lit(0.0), marks - 0.35))
     bare = F.regexp_replace(F.lower(s), r"[:.!?…]+$", "")
-    return F.when((s == "") | bare.isin(*INTRODUCTIONS), F.lit(0.0)).when((F.length(s) < 24) | (terms < 3), F.lit(0.15)).otherwise(rich)
+    return F.when(text.isNull(), None).when((s == "") | bare.isin(*INTRODUCTIONS), F.lit(0.0)).when((F.length(s) < 24) | (terms < 3), F.lit(0.15)).otherwise(rich)
 
 
 def slug(text: Column, fallback: Column | str = "chat") -> Column:

@@ -68,6 +68,8 @@ def holds(kind: str, text: str, a: int, b: int) -> bool:
 
 def places(text: str, tags: np.ndarray) -> list[tuple[int, int, str]]:
     """(start, end, type) of the places that the tags name and that hold."""
+    if not tags.any():
+        return []
     edges = np.flatnonzero(np.diff(tags, prepend=0, append=0))
     raw: list[list] = []
     for x, y in zip(edges, edges[1:]):
@@ -107,8 +109,8 @@ def _scan(df: DataFrame, key: str, text: str, schema: str, rows, path: str) -> D
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict = {}
         for b in batches:
-            for at in range(0, len(b), 1_500):
-                p = b.iloc[at : at + 1_500]
+            for at in range(0, len(b), 4_000):
+                p = b.iloc[at : at + 4_000]
                 texts = [t if isinstance(t, str) else None for t in p["_text"]]
                 once = sorted({t for t in texts if t})
                 found = dict(zip(once, (places(t, g) for t, g in zip(once, M.tag_texts(params.value, once, cache)))))

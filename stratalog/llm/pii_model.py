@@ -24,7 +24,7 @@ for _i, _c in enumerate(ALPHABET):
     _CODE[ord(_c)] = _i + 2
 VOCAB = len(ALPHABET) + 2
 
-WINDOW = 256
+WINDOW = 512
 OVERLAP = 64
 
 
@@ -267,8 +267,11 @@ def tag_texts(p: dict, texts: list[str], cache: dict | None = None, batch_chars:
             hi = b - OVERLAP // 2 if b < len(codes[i]) else b
             scores[i][lo:hi] = em[k, lo - a : hi - a]
         at += n
-    order = sorted((i for i, x in enumerate(codes) if len(x)), key=lambda i: len(codes[i]))
-    tags: list[np.ndarray] = [np.zeros(0, np.int8)] * len(codes)
+    # where no other tag scores above O by more than transitions could win back, the best path is O throughout
+    slack = max(0.0, float(p["trans"].max() - p["trans"][0, 0]))
+    open_ = [i for i, e in enumerate(scores) if len(e) and float((e[:, 0] - e[:, 1:].max(1)).min()) < slack]
+    order = sorted(open_, key=lambda i: len(codes[i]))
+    tags: list[np.ndarray] = [np.zeros(len(x), np.int8) for x in codes]
     at = 0
     while at < len(order):
         n = 1

@@ -243,6 +243,25 @@ def cut(length: int) -> list[tuple[int, int]]:
     return [*out, (at, length)]
 
 
+def may_tag(trans: np.ndarray, em: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether the best path of each text can hold another tag than O; never false where it does.
+
+    em holds the scores of all texts end to end.  A stretch of other tags gains at most the sum of
+    its score leads over O, and of what inner transitions are better than O to O, and pays at
+    least for one change from or to O.  If no stretch's gain (a largest sum of neighbours) reaches
+    the price, the best path is O throughout.
+    """
+    inner = max(0.0, float(trans[1:, 1:].max() - trans[0, 0]))
+    price = float(trans[0, 0] - max(trans[0, 1:].max(), trans[1:, 0].max()))
+    lead = (em[:, 1:].max(1) - em[:, 0] + inner).astype(np.float64)
+    step = lead.copy()
+    step[starts] -= 1e6  # sums of neighbours don't reach over the start of a text
+    g = np.cumsum(step)
+    low = np.minimum.accumulate(g)
+    best = np.maximum(lead, np.concatenate([[-np.inf], g[1:] - low[:-1]]))
+    return np.maximum.reduceat(best, starts) >= price
+
+
 def tag_texts(p: dict, texts: list[str], cache: dict | None = None, batch_chars: int = 200_000) -> list[np.ndarray]:
     """Tags of every character of every text: windows are scored in batches of like length, each
     character takes the scores of the window it lies deepest in, and one Viterbi pass decodes each
@@ -251,7 +270,10 @@ def tag_texts(p: dict, texts: list[str], cache: dict | None = None, batch_chars:
     codes = [encode(t) for t in texts]
     wins = [(b - a, i, a, b) for i, x in enumerate(codes) for a, b in cut(len(x)) if b > a]
     wins.sort(key=lambda w: w[0])
-    scores = [np.empty((len(x), len(TAGS)), np.float32) for x in codes]
+    size = np.array([len(x) for x in codes], np.int64)
+    all_scores = np.empty((int(size.sum()), len(TAGS)), np.float32)
+    start = np.cumsum(size) - size
+    scores = [all_scores[a : a + n] for a, n in zip(start, size)]
     at = 0
     while at < len(wins):
         n = 1
@@ -267,9 +289,8 @@ def tag_texts(p: dict, texts: list[str], cache: dict | None = None, batch_chars:
             hi = b - OVERLAP // 2 if b < len(codes[i]) else b
             scores[i][lo:hi] = em[k, lo - a : hi - a]
         at += n
-    # where no other tag scores above O by more than transitions could win back, the best path is O throughout
-    slack = max(0.0, float(p["trans"].max() - p["trans"][0, 0]))
-    open_ = [i for i, e in enumerate(scores) if len(e) and float((e[:, 0] - e[:, 1:].max(1)).min()) < slack]
+    filled = np.flatnonzero(size)
+    open_ = filled[may_tag(p["trans"], all_scores, start[filled])].tolist() if len(filled) else []
     order = sorted(open_, key=lambda i: len(codes[i]))
     tags: list[np.ndarray] = [np.zeros(len(x), np.int8) for x in codes]
     at = 0

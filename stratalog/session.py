@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -41,8 +42,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """df, computed once and read from the shared folder from then on (a reliable checkpoint)."""
+    """df, computed once and read from the shared folder from then on (a reliable checkpoint).
+
+    Garbage is collected first on the driver, as the shuffle files of earlier results that nothing
+    refers to any more are deleted only then.
+    """
     shared_dir(df.sparkSession)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.checkpoint(eager=True)
 
 

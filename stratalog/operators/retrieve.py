@@ -16,6 +16,7 @@ from ..functions import vectors as V
 from ..session import ship
 
 BLOCK = 4_096  # rows of one matrix
+POOL = 500  # candidates of each branch of the hybrid search
 
 
 def top_rows(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
@@ -135,7 +136,7 @@ def fused(rows: DataFrame, query: str, dense: str = "dense_score", sparse: str =
     return out.select(*[c for c in rows.columns if c not in ("_dm", "_sm")], F.col("_v.variant").alias("variant"), F.col("_v.score").alias("score"))
 
 
-def hybrid(dense: DataFrame, sparse: DataFrame, query: str, key: str, alpha: float = 0.65, beta: float = 0.35, pool: int = 500, limit: int = 10) -> DataFrame:
+def hybrid(dense: DataFrame, sparse: DataFrame, query: str, key: str, alpha: float = 0.65, beta: float = 0.35, pool: int = POOL, limit: int = 10) -> DataFrame:
     """(query, key, dense, sparse, fused, reason, place): weighted fusion of the pools of both branches.
 
     dense and sparse are (query, key, score); the first pool rows of each branch by score and key

@@ -61,28 +61,29 @@ def sparse_topk(spark: SparkSession, d: str) -> DataFrame:
     return top.select("probe_id", "chunk_id", F.round("score", 6).alias("score"), "shared", F.col("place").cast("long").alias("place"))
 
 
-_HYBRID = f"""WITH {_VECS}, {_TERMS}, c2 AS (SELECT chunk_id, sqrt(sum(weight * weight)) AS l FROM w GROUP BY 1),
+def _hybrid_sql(pool: int) -> str:
+    return f"""WITH {_VECS}, {_TERMS}, c2 AS (SELECT chunk_id, sqrt(sum(weight * weight)) AS l FROM w GROUP BY 1),
 q AS (SELECT chunk_id AS query, space, x FROM v WHERE rid % 100 = 0),
 dn AS (SELECT query, r.chunk_id, round(list_cosine_similarity(q.x, r.x), 9) AS s FROM q JOIN v r ON q.space = r.space AND q.query <> r.chunk_id),
 sp AS (SELECT q.query, w.chunk_id, round(sum(a.weight * w.weight) / (any_value(x.l) * any_value(y.l)), 9) AS s FROM (SELECT DISTINCT query FROM q) q JOIN w a ON a.chunk_id = q.query JOIN w ON w.term = a.term AND w.chunk_id <> q.query JOIN c2 x ON x.chunk_id = q.query JOIN c2 y ON y.chunk_id = w.chunk_id GROUP BY 1, 2),
-dp AS (SELECT * FROM dn QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, chunk_id) <= 50), pp AS (SELECT * FROM sp WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, chunk_id) <= 50),
+dp AS (SELECT * FROM dn QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, chunk_id) <= {pool}), pp AS (SELECT * FROM sp WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, chunk_id) <= {pool}),
 u AS (SELECT coalesce(dp.query, pp.query) AS query, coalesce(dp.chunk_id, pp.chunk_id) AS chunk_id, coalesce(pp.s, 0) AS sparse FROM dp FULL JOIN pp ON dp.query = pp.query AND dp.chunk_id = pp.chunk_id),
 f AS (SELECT u.*, coalesce(dn.s, 0) AS dense, 0.65 * coalesce(dn.s, 0) + 0.35 * sparse AS fused FROM u LEFT JOIN dn ON dn.query = u.query AND dn.chunk_id = u.chunk_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(fused, 9) DESC, chunk_id) AS place FROM f QUALIFY place <= 10)"""
+
+
 _PROV = """SELECT k.query, k.chunk_id, round(dense, 6) AS dense, round(sparse, 6) AS sparse, round(fused, 6) AS fused, place, m.id AS message_id, m.conversation_id, c.title FROM k
 JOIN (SELECT DISTINCT id, block_id FROM retrieval_chunks) r ON r.id = k.chunk_id JOIN (SELECT DISTINCT id, message_id FROM blocks) b ON b.id = r.block_id
 JOIN (SELECT DISTINCT id, conversation_id FROM messages) m ON m.id = b.message_id JOIN (SELECT DISTINCT id, title FROM conversations) c ON c.id = m.conversation_id"""
 
 
-@query(f"{_HYBRID} {_PROV}")
-def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    """Hybrid search of every chunk whose rowid is divisible by 100 over all chunks, with provenance."""
+def _hybrid_search(spark: SparkSession, d: str, pool: int) -> DataFrame:
     v, terms = usable_vectors(spark, d), chunk_terms(spark, d)
     q = v.where("rowid % 100 = 0")
-    dense = retrieve.exact_neighbours(q, v, "chunk_id", "vector", "space", 50).select("query", F.col("id").alias("chunk_id"), F.col("cosine").alias("score"))
+    dense = retrieve.exact_neighbours(q, v, "chunk_id", "vector", "space", pool).select("query", F.col("id").alias("chunk_id"), F.col("cosine").alias("score"))
     asked = terms.join(q.select("chunk_id").distinct(), "chunk_id", "left_semi").withColumnRenamed("chunk_id", "query")
     sparse = retrieve.sparse_scores(asked, terms, "query", "chunk_id").where("query <> chunk_id").withColumn("score", F.round("score", 9))
-    sparse = retrieve.top_rows(sparse.where("score > 0"), ["query"], [F.desc("score"), F.asc("chunk_id")], 50)
+    sparse = retrieve.top_rows(sparse.where("score > 0"), ["query"], [F.desc("score"), F.asc("chunk_id")], pool)
     both = retrieve.candidate_union(dense.select("query", "chunk_id"), sparse.select("query", "chunk_id", F.col("score").alias("sparse")), ["query", "chunk_id"])
     # every candidate is scored exactly by both branches' rule; those found by one alone are scored here
     qv, rv = q.select(F.col("chunk_id").alias("query"), "space", F.col("vector").alias("qv")), v.select("chunk_id", "space", F.col("vector").alias("rv"))
@@ -94,6 +95,18 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return full.select("query", "chunk_id", r("dense"), r("sparse"), r("fused"), F.col("place").cast("long").alias("place"), "message_id", "conversation_id", "title")
 
 
+@query(f"{_hybrid_sql(50)} {_PROV}")
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    """hybrid_search_whole with 50 candidates of each branch, fewer than the archive takes; kept as its SQL states it."""
+    return _hybrid_search(spark, d, 50)
+
+
+@query(f"{_hybrid_sql(retrieve.POOL)} {_PROV}")
+def hybrid_search_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Hybrid search of every chunk whose rowid is divisible by 100 over all chunks, with the archive's candidate pools and provenance."""
+    return _hybrid_search(spark, d, retrieve.POOL)
+
+
 # --------------------------------------------------------------------------- fusion over the raw-score snapshot
 
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.ids import stable_id
+from ..session import settle, ship
 
 
 def memberships(rows: DataFrame, key: str, groups: dict[str, str]) -> DataFrame:
@@ -79,6 +85,60 @@ def similarity_edges(rows: DataFrame, group: str, key: str, vector: str, terms:
     return top.select(group, F.col("a").alias("src"), F.col("b").alias("dst"), F.explode(kinds).alias("k")).select(group, "src", "dst", "k.edge_kind", "k.score").where("score is not null")
 
 
+def member_edges(members: DataFrame, vectors: DataFrame, terms: DataFrame, by: list[str], key: str, top_k: int = 10, most: int = 1_000) -> DataFrame:
+    """(by, src, dst, edge_kind, score): the top_k most similar pairs of each group (by, key) of 2 to most members that have a vector or terms.
+
+    vectors is (key, space, vector), usable ones, each key once a space; vectors of different spaces
+    or lengths aren't compared.  terms is (key, terms), each key once: its terms, each as often as
+    it occurs, so that nothing is shuffled for each term.  A branch that a pair lacks counts 0, as in the archive's edge builder; only
+    scores above 0 are edges.  A group has at most most members, so one task holds its matrices.
+    """
+    ship(members.sparkSession)
+    terms = terms.where(F.size("terms") > 0)
+    have = vectors.select(key).unionByName(terms.select(key)).distinct()
+    m = settle(members.dropna(subset=[*by, key]).select(*by, key).distinct().join(have, key, "left_semi"))
+    m = m.join(m.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n").between(2, most)).select(*by), by)
+    used = m.select(key).distinct()
+    part = lambda f: F.transform("_v", lambda x: x[f])
+    v = vectors.join(used, key, "left_semi").groupBy(key).agg(F.collect_list(F.struct("space", "vector")).alias("_v")).select(key, part("space").alias("_s"), part("vector").alias("_x"))
+    t = terms.join(used, key, "left_semi").select(key, F.col("terms").alias("_t"))
+    rows = m.join(v, key, "left").join(t, key, "left")
+
+    def run(group: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(key)
+        ids, n = p[key].to_numpy(object), len(p)
+        spaces: dict = {}
+        for i, (names, xs) in enumerate(zip(p["_s"], p["_x"])):
+            for name, x in zip(names if names is not None else (), xs if xs is not None else ()):
+                spaces.setdefault((name, len(x)), []).append((i, np.asarray(x, np.float64)))
+        dense = np.full((n, n), -np.inf)
+        for held in spaces.values():
+            at, x = np.ix_([i for i, _ in held], [i for i, _ in held]), np.stack([x for _, x in held])
+            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            dense[at] = np.maximum(dense[at], x @ x.T)
+        dense = np.where(np.isinf(dense), 0.0, dense)
+        sparse, where = np.zeros((n, n)), {}
+        for i, words in enumerate(p["_t"]):
+            if words is not None:
+                n_of = Counter(words)
+                norm = math.sqrt(sum(c * c for c in n_of.values()))
+                for word, c in n_of.items():
+                    where.setdefault(word, []).append((i, c / norm))
+        for held in where.values():
+            if len(held) > 1:
+                i, w = np.array([i for i, _ in held]), np.array([w for _, w in held])
+                sparse[np.ix_(i, i)] += w[:, None] * w
+        a, b = np.triu_indices(n, 1)
+        dense, sparse = dense[a, b], sparse[a, b]
+        hybrid = np.round(0.65 * dense + 0.35 * sparse, 9)
+        top = np.lexsort((b, a, -hybrid))[:top_k]
+        top = top[hybrid[top] > 0]
+        out = [(*group, ids[a[k]], ids[b[k]], kind, float(s[k])) for k in top for kind, s in (("dense_sim", dense), ("sparse_overlap", sparse), ("hybrid_sim", hybrid)) if round(s[k], 9) > 0]
+        return pd.DataFrame(out, columns=[*by, "src", "dst", "edge_kind", "score"])
+
+    return rows.groupBy(*by).applyInPandas(run, ", ".join(f"{c} string" for c in (*by, "src", "dst", "edge_kind")) + ", score double")
+
+
 def neighbours(edges: DataFrame, seeds: DataFrame, key: str, limit: int = 20) -> DataFrame:
     """(seed, neighbour, score, place): ends of edges that touch a seed, the strongest first; two equi-joins in place of an OR."""
     s = seeds.select(F.col(key).alias("seed")).distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import vectors as V
 from ..operators import audit, graph, retrieve
 from ..sources.tables import table
 from .registry import query
@@ -165,6 +166,43 @@ def mean_pool_centroid(spark: SparkSession, d: str) -> DataFrame:
     return m.select("conversation_id", F.posexplode("mean").alias("position", "value")).select("conversation_id", F.col("position").cast("long").alias("position"), F.round("value", 6).alias("value"))
 
 
+def _members(spark: SparkSession, d: str) -> DataFrame:
+    """(group_type, group_id, chunk_id): every chunk in its conversation and in its project, with or without a vector."""
+    c = chunks(spark, d).select(F.col("id").alias("chunk_id"), "block_id").distinct()
+    v = table(spark, d, "conversations").select(F.col("id").alias("conversation_id"), "project_id").distinct()
+    rows = c.join(_placed(spark, d).select("block_id", "conversation_id").distinct(), "block_id").join(v, "conversation_id", "left")
+    return graph.memberships(rows, "chunk_id", {"conversation": "conversation_id", "project": "project_id"})
+
+
+_MEMBERS = f"""pl AS (SELECT DISTINCT c.id AS chunk_id, p.conversation_id, v.project_id FROM (SELECT DISTINCT id, block_id FROM retrieval_chunks) c JOIN {_PLACED} p ON p.block_id = c.block_id LEFT JOIN (SELECT DISTINCT id, project_id FROM conversations) v ON v.id = p.conversation_id),
+mb AS (SELECT 'conversation' AS group_type, conversation_id AS group_id, chunk_id FROM pl WHERE conversation_id IS NOT NULL UNION SELECT 'project', project_id, chunk_id FROM pl WHERE project_id IS NOT NULL)"""
+
+
+@query(f"""SELECT * EXCLUDE (kept) FROM (WITH {_VECS}, {_TERMS}, {_MEMBERS}, g AS (SELECT *, count(*) OVER (PARTITION BY group_type, group_id) AS k FROM mb WHERE chunk_id IN (SELECT chunk_id FROM v UNION SELECT chunk_id FROM t)),
+c2 AS (SELECT chunk_id, sqrt(sum(weight * weight)) AS n FROM w GROUP BY 1), y AS (SELECT g.group_type, g.group_id, chunk_id, term, weight / n AS weight FROM g JOIN w USING (chunk_id) JOIN c2 USING (chunk_id) WHERE k BETWEEN 2 AND 1000),
+z AS (SELECT g.group_type, g.group_id, g.chunk_id, v.space, v.x FROM g JOIN v USING (chunk_id) WHERE k BETWEEN 2 AND 1000),
+dn AS (SELECT a.group_type, a.group_id, a.chunk_id AS a, b.chunk_id AS b, max(list_cosine_similarity(a.x, b.x)) AS dense FROM z a JOIN z b ON a.group_type = b.group_type AND a.group_id = b.group_id AND a.space = b.space AND len(a.x) = len(b.x) AND a.chunk_id < b.chunk_id GROUP BY ALL),
+sp AS (SELECT a.group_type, a.group_id, a.chunk_id AS a, b.chunk_id AS b, sum(a.weight * b.weight) AS sparse FROM y a JOIN y b ON a.group_type = b.group_type AND a.group_id = b.group_id AND a.term = b.term AND a.chunk_id < b.chunk_id GROUP BY ALL),
+h AS (SELECT group_type, group_id, a, b, coalesce(dense, 0) AS dense, coalesce(sparse, 0) AS sparse, round(0.65 * coalesce(dense, 0) + 0.35 * coalesce(sparse, 0), 9) AS hybrid FROM dn FULL JOIN sp USING (group_type, group_id, a, b)),
+tt AS (SELECT * FROM h WHERE hybrid > 0 QUALIFY row_number() OVER (PARTITION BY group_type, group_id ORDER BY hybrid DESC, a, b) <= 10)
+SELECT group_type, group_id, a AS src, b AS dst, unnest(['dense_sim', 'sparse_overlap', 'hybrid_sim']) AS edge_kind, round(unnest([dense, sparse, hybrid]), 6) AS score, round(unnest([dense, sparse, hybrid]), 9) > 0 AS kept FROM tt) WHERE kept""")
+def similarity_edges_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Similarity edges of conversations and of projects, over all chunks with a vector of any space or with terms."""
+    texts = table(spark, d, "retrieval_chunks").groupBy(F.col("id").alias("chunk_id")).agg(F.collect_set("text").alias("texts"))
+    terms = texts.select("chunk_id", F.flatten(F.transform("texts", V.terms)).alias("terms"))
+    e = graph.member_edges(_members(spark, d), usable_vectors(spark, d), terms, ["group_type", "group_id"], "chunk_id", 10)
+    return e.select("group_type", "group_id", "src", "dst", "edge_kind", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_VECS}, {_MEMBERS}, l AS (SELECT v.space, mb.group_type, mb.group_id, v.x FROM mb JOIN v USING (chunk_id)), s AS (SELECT space, group_type, group_id, any_value(len(x)) AS k FROM l GROUP BY ALL HAVING min(len(x)) = max(len(x))),
+e AS (SELECT space, group_type, group_id, i, avg(x[i]) AS m FROM (SELECT l.*, unnest(range(1, k + 1)) AS i FROM l JOIN s USING (space, group_type, group_id)) GROUP BY ALL), n AS (SELECT space, group_type, group_id, sqrt(sum(m * m)) AS l2 FROM e GROUP BY ALL)
+SELECT space, group_type, group_id, i - 1 AS position, round(CASE WHEN l2 > 0 THEN m / l2 ELSE m END, 6) AS value FROM e JOIN n USING (space, group_type, group_id)""")
+def mean_pool_centroid_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Mean vectors of conversations and of projects, one for each space that has vectors of their chunks."""
+    m = graph.mean_vectors(_members(spark, d).join(usable_vectors(spark, d).select("chunk_id", "space", "vector"), "chunk_id"), ["space", "group_type", "group_id"], "vector")
+    return m.select("space", "group_type", "group_id", F.posexplode("mean").alias("position", "value")).select("space", "group_type", "group_id", F.col("position").cast("long").alias("position"), F.round("value", 6).alias("value"))
+
+
 @query(f"""WITH {_TERMS}, p AS (SELECT DISTINCT c.id AS chunk_id, q.conversation_id FROM (SELECT DISTINCT id, block_id FROM retrieval_chunks) c JOIN {_PLACED} q ON q.block_id = c.block_id WHERE q.conversation_id IS NOT NULL),
 m AS (SELECT conversation_id, term, max(weight) AS weight FROM w JOIN p USING (chunk_id) GROUP BY 1, 2)
 SELECT conversation_id, term, round(weight, 6) AS weight, row_number() OVER (PARTITION BY conversation_id ORDER BY weight DESC, term) AS place FROM m QUALIFY place <= 50""")

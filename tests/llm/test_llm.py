@@ -127,6 +127,17 @@ def test_near_pairs_match_brute_force(spark, t, k, least, size):
     assert got == _brute_pairs([x for x in texts if x[1]], t, k, least)
 
 
+def test_sets_that_share_only_neighbouring_prefix_tokens_have_a_key():
+    r = np.random.default_rng(0)
+    for _ in range(300):
+        tok = r.choice(2**31 - 1, 100, replace=False)
+        common, passage, own = tok[:43], tok[43:60], tok[60:]
+        a, b = np.concatenate([common, passage]), np.concatenate([passage, common, own])
+        heavy = np.sort(common)
+        d, keys = neardup.signatures(np.concatenate([a, b]), np.array([60, 100]), np.zeros(2, np.int64), heavy, np.arange(1, 44), 0.6)
+        assert set(keys[d == 0]) & set(keys[d == 1])
+
+
 def test_classes_keep_copies_together(spark):
     w = " ".join(f"word{j}" for j in range(50))
     df = spark.createDataFrame([("a", w), ("b", w), ("c", w + " more words here"), ("d", " ".join(f"other{j}" for j in range(50))), ("e", None)], "id string, text string")

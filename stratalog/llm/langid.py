@@ -41,6 +41,7 @@ FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 SENTENCE = re.compile(r"[^\s.!?…][^\r\n]*?(?:[.!?…]+(?=\s|\Z)|(?=\s/\s)|(?=[\r\n])|\Z)")
 _CYR = re.compile("[Ѐ-ӿ]")
 _LAT = re.compile("[A-Za-zÀ-ɏ]")
+_MAIL = re.compile(r"\S+@\S+")
 
 
 def label(c: Column) -> Column:
@@ -56,6 +57,12 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in SENTENCE.finditer(t)]
 
 
+def _script(segment: str) -> bool | None:
+    """Whether most letters are Cyrillic; None without letters."""
+    cyr, lat = len(_CYR.findall(segment)), len(_LAT.findall(segment))
+    return cyr > lat if cyr or lat else None
+
+
 class Classifier:
     """Compressors of all languages over their dictionaries."""
 
@@ -81,14 +88,18 @@ class Classifier:
         return (sizes[0][1] if margin >= MARGIN else None), margin
 
     def runs(self, text: str) -> list[tuple[str, float, int, int, int]]:
-        """(language, confidence, words, start, end) of the unbroken stretches of one language."""
-        parts = []
+        """(language, confidence, words, start, end) of the unbroken stretches of one language.
+
+        A sentence of no clear language takes its neighbours' language, if that has its script.
+        """
+        parts, scripts = [], []
         for a, b in sentences(text):
             s = text[a:b]
             n = len(WORD.findall(s))
             if n:
                 lang, margin = self.best(s)
                 parts.append([lang, margin, n, a, b])
+                scripts.append(_script(_MAIL.sub(" ", s)))  # an address has no script
         known = [p[0] if p[1] >= CLEAR else None for p in parts]
         ahead, nxt = [None] * len(known), None
         for k in range(len(known) - 1, -1, -1):
@@ -97,8 +108,9 @@ class Classifier:
         for k, p in enumerate(parts):
             if known[k] is None:
                 left, right = before, ahead[k]
-                if left == right or left is None or right is None:
-                    p[0] = left or right or p[0]
+                near = left or right
+                if (left == right or left is None or right is None) and near and scripts[k] in (None, near in CYRILLIC):
+                    p[0] = near
             before = known[k] or before
         out: list[list] = []
         for lang, margin, n, a, b in parts:

@@ -196,6 +196,16 @@ def _documents(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
 
 
+def test_an_accepted_sentence_keeps_its_language_between_others():
+    class Fixed(langid.Classifier):
+        def best(self, segment):
+            return {"W": ("en", 0.18), "O": (None, 0.0), "Я": ("ru", 0.1)}.get(segment.strip()[0], ("uk", 0.5))
+
+    uk = "Погода була холодна і діти повільно йшли до старої школи."
+    text = f"{uk} What hapepns when the retry queue joins the night train? {uk} Ok then. {uk} Я тут. {uk}"
+    assert [r[0] for r in Fixed({}).runs(text)] == ["uk", "en", "uk", None, "uk"]
+
+
 def test_languages_of_mixed_texts(spark):
     dicts = langid.dictionaries(_documents(spark))
     assert dicts.keys() == set(SEED)

@@ -178,6 +178,7 @@ def neighbours(df: DataFrame, item: str, space: str, vector: str, dim: str, rank
     ship(spark)
     ok = df.where(F.col(item).isNotNull() & F.col(space).isNotNull() & usable(F.col(vector), F.col(dim)))
     rows = ok.select(F.col(space).alias("space"), F.col(item).alias("id"), F.col(rank).alias("rank"), F.col(vector).alias("x"), F.xxhash64(space, vector).alias("v"))
+    rows = rows.groupBy("space", "id").agg(F.min_by(F.struct("x", "v"), F.struct("rank", "v")).alias("m")).select("space", "id", "m.x", "m.v")  # only the vector that counts
     graphs = fit(rows, sample)
     names = sorted(graphs)
     sent = spark.sparkContext.broadcast(graphs)  # at most MOST_LISTS centroids and their links a space
@@ -221,7 +222,7 @@ def neighbours(df: DataFrame, item: str, space: str, vector: str, dim: str, rank
     met = met.groupBy("v", "o").agg(F.max("cos").alias("cos"))
     near = met.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy(F.desc("cos"), "o"))).where(F.col("r") <= k).select("v", "o", F.col("cos").cast("double").alias("cos"))
     number = F.create_map(*[F.lit(x) for k_, name in enumerate(names) for x in (name, k_)]) if names else F.create_map(F.lit(""), F.lit(-1))
-    members = rows.select(F.element_at(number, F.col("space")).alias("s"), "id", "rank", "v").groupBy("s", "id").agg(F.min_by("v", F.struct("rank", "v")).alias("v"))
+    members = rows.select(F.element_at(number, F.col("space")).alias("s"), "id", "v")
     first = members.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1)
     first = first.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # at most k + 1 entries
     links = near.unionByName(first.where(F.size("ids") > 1).select("v", F.col("v").alias("o"), F.lit(1.0).alias("cos")))

@@ -179,6 +179,13 @@ def test_equal_vectors_are_each_others_nearest(spark):
     assert postings.neighbours(df.where("false"), "i", "s", "x", "d", "r").count() == 0
 
 
+def test_vectors_that_were_replaced_take_no_places(spark):
+    rows = [(k, f"c{k}", "s", 2, [1.0, 0.1 * k]) for k in range(6)] + [(10 + k, f"c{k}", "s", 2, [1.0, 0.001 * k]) for k in range(1, 6)]
+    df = spark.createDataFrame(rows, "r long, i string, s string, d long, x array<float>")
+    got = [(r["place"], r["other"]) for r in postings.neighbours(df, "i", "s", "x", "d", "r", 3).where("i = 'c0'").collect()]
+    assert sorted(got) == [(1, "c1"), (2, "c2"), (3, "c3")]
+
+
 # --------------------------------------------------------------------------- 5 languages
 
 SEED = {

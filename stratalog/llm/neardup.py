@@ -232,7 +232,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root): the smallest node that each node of the edges (a, b) is linked with, directly or not.
 
     Alternating large-star and small-star steps; each round is written to the shared folder, and
-    the rounds end when the edges no longer change.
+    the rounds end when the edges no longer change.  If they still do after the last round, an error
+    is raised, as groups would be split.
     """
     e = settle(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
@@ -247,6 +248,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components: the edges still change after {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
 
 

@@ -146,6 +146,13 @@ def test_classes_keep_copies_together(spark):
     assert rows["a"][1] == 1 and rows["d"][1] == 0
 
 
+def test_components_say_when_the_rounds_run_out(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(30)], "a long, b long")
+    assert {r["root"] for r in neardup.components(chain).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        neardup.components(chain, rounds=1)
+
+
 def test_near_pairs_of_nothing(spark):
     assert neardup.near_pairs(spark.createDataFrame([], "id string, text string"), "id", "text").count() == 0
 

@@ -1,4 +1,4 @@
-"""The semantic graph: group nodes with pooled vectors and terms, edges between members, neighbours, context packs."""
+"""The semantic graph: group nodes with pooled vectors and terms, edges between members, neighbours, parts of context packs."""
 
 from __future__ import annotations
 

@@ -21,22 +21,25 @@ def p1_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversations.rebuilt(conversations.replay(spark, f"{d}/messages.parquet"))
 
 
+SCORES = ["dense_score", "sparse_score", "final_score"]
+
+
 def _three_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of snapshot_rows with the three scores; a hit of a chunk that isn't there adds no row."""
-    snap = table(spark, d, "snapshot_rows").select("probe_id", "chunk_id", "dense_score", "sparse_score", F.lit(None).cast("double").alias("final_score"), F.lit(1).alias("here"))
-    hits = table(spark, d, "native_retrieval_hits").select("probe_id", "chunk_id", F.lit(None).cast("double").alias("dense_score"), F.lit(None).cast("double").alias("sparse_score"), "final_score", F.lit(0).alias("here"))
-    both = snap.unionByName(hits).groupBy("probe_id", "chunk_id")
-    best = [F.max(topn.usable(F.col(c))).alias(c) for c in ("dense_score", "sparse_score", "final_score")]
-    return both.agg(F.max("here").alias("here"), *best).where("here = 1")
+    """Rows of snapshot_rows and of native_retrieval_hits with the three scores; a chunk of the hits alone is no item (here)."""
+    none = lambda c: F.lit(None).cast("double").alias(c)
+    snap = table(spark, d, "snapshot_rows").select("probe_id", "chunk_id", "dense_score", "sparse_score", none("final_score"), F.lit(True).alias("here"))
+    hits = table(spark, d, "native_retrieval_hits").select("probe_id", "chunk_id", none("dense_score"), none("sparse_score"), "final_score", F.lit(False).alias("here"))
+    return snap.unionByName(hits)
 
 
 def p2_points(spark: SparkSession, d: str) -> DataFrame:
-    return borda.combine(_three_scores(spark, d), "probe_id", "chunk_id", ["dense_score", "sparse_score", "final_score"])
+    return borda.combine(_three_scores(spark, d), "probe_id", "chunk_id", SCORES, member="here")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    points = borda.combine(_three_scores(spark, d), "probe_id", "chunk_id", ["dense_score", "sparse_score", "final_score"], missing="none")
-    return topn.top_n(points.where("n >= 30"), "probe_id", "chunk_id", "points", 1).select("probe_id", "chunk_id")
+    points = borda.combine(_three_scores(spark, d), "probe_id", "chunk_id", SCORES, missing="none", member="here")
+    # the first of a group is a minimum, combined before any shuffle
+    return points.where("n >= 30").groupBy("probe_id").agg(F.min(F.struct((-F.col("points")).alias("o"), "chunk_id")).alias("m")).select("probe_id", "m.chunk_id")
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:

@@ -71,16 +71,25 @@ def _borda_plain(rows, missing):
 
 @pytest.mark.parametrize("missing", ["mid", "none"])
 @pytest.mark.parametrize("hot", [borda.HOT, 20])
-def test_borda_matches_brute_force(spark, missing, hot, monkeypatch):
-    monkeypatch.setattr(borda, "MOST_HOT", 10**9)
+def test_borda_matches_brute_force(spark, missing, hot):
     r = random.Random(3)
-    rows = [("g", f"i{k:03d}", r.choice([None, 0.0, 1.5, r.random()]), r.choice([None, -1.0, r.randint(0, 4) / 1.0])) for k in range(150)] + [("h", "x", None, 2.0)]
-    df = spark.createDataFrame(rows + rows[:9] + [(None, "x", 1.0, 1.0), ("g", None, 1.0, 1.0), ("h", "y", float("nan"), float("inf"))], "g string, i string, a double, b double").withColumn("kind", F.lit("clash"))
+    rows = [("g", f"i{k:03d}", r.choice([None, 0.0, -0.0, 1.5, r.random()]), r.choice([None, -1.0, r.randint(0, 4) / 1.0])) for k in range(150)] + [("h", "x", None, 2.0)]
+    df = spark.createDataFrame(rows + rows[:9] + [(None, "x", 1.0, 1.0), ("g", None, 1.0, 1.0), ("h", "y", float("nan"), float("inf"))], "g string, i string, a double, b double").withColumn("kind", F.lit("clash")).withColumn("n", F.lit("clash"))
     got = {(x["g"], x["i"]): x["points"] for x in borda.combine(df, "g", "i", ["a", "b"], missing, hot=hot).collect()}
     want = _borda_plain([*rows, ("h", "y", None, None)], missing)
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+@pytest.mark.parametrize("hot", [borda.HOT, 2])
+def test_borda_weights_and_members(spark, hot):
+    rows = [("g", "a", 3.0, None, True), ("g", "a", None, 1.0, None), ("g", "b", 2.0, 9.0, True), ("g", "c", 9.0, 9.9, False), ("g", "c", 9.0, 9.9, None)]
+    df = spark.createDataFrame(rows, "g string, i string, a double, b double, own boolean")
+    got = {x["i"]: (x["points"], x["n"]) for x in borda.combine(df, "g", "i", ["a", "b"], weights=[2.0, 0.5], member="own", hot=hot).collect()}
+    assert got == {"a": (2.0, 2), "b": (0.5, 2)}
+    with pytest.raises(ValueError):
+        borda.combine(df, "g", "i", ["a", "b"], weights=[1.0])
+
+
 def test_borda_empty_and_bad_argument(spark):
     e = spark.createDataFrame([], "g string, i string, a double")
     assert borda.combine(e, "g", "i", ["a"]).count() == 0

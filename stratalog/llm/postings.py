@@ -9,6 +9,7 @@ indexed and all are queries; within a list, queries meet members in one matrix p
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -17,16 +18,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import settle, ship
 
-SAMPLE = 20_000  # vectors of a space that the clusters are fitted on
+SAMPLE, PER_LIST, MOST_SAMPLE = 20_000, 16, 1_000_000  # vectors of a space that the clusters are fitted on: PER_LIST a list, at least SAMPLE, at most MOST_SAMPLE
 LIST = 1_000  # vectors a list should own
-MOST_LISTS = 2_048  # per space, so that centroids and graph stay within a few MB
+MOST_LISTS = 65_536  # per space, so that centroids and graph stay within tens of MB; beyond 65 million vectors lists grow and are searched in blocks
 DEGREE = 16  # links of a centroid in the graph
 BEAM = 24  # centroids a search keeps
 WRITE, WRITE_RATIO = 4, 1.2  # most lists a vector is written to; how much farther they may be than the nearest
 READ, READ_RATIO = 4, 1.2  # the same of the lists a query reads
-BLOCK = 20_000  # members of one list that are searched together; larger lists are cut
+BLOCK = 20_000  # members, and readers, of one list that meet in a task; larger lists are cut
+FEW = 200_000  # keys that may be broadcast
 
 
 def usable(vector: Column, dim: Column) -> Column:
@@ -44,12 +46,12 @@ def unit(x: np.ndarray) -> np.ndarray:
 def clusters(x: np.ndarray, count: int, seed: int = 3) -> np.ndarray:
     """Centroids of balanced clusters: halves along the line between two means, at a cut near the middle."""
     rng = np.random.default_rng(seed)
-    parts = [np.arange(len(x))]
+    parts = [(-len(x), 0, np.arange(len(x)))]  # a heap, the largest first
+    made = 0
     while len(parts) < count:
-        k = max(range(len(parts)), key=lambda i: len(parts[i]))
-        own = parts.pop(k)
-        if len(own) < 4:
-            parts.append(own)
+        size, _, own = heapq.heappop(parts)
+        if -size < 4:
+            heapq.heappush(parts, (size, made + 1, own))
             break
         y = x[own]
         c = y[rng.choice(len(y), 2, replace=False)].astype(np.float64)
@@ -62,18 +64,22 @@ def clusters(x: np.ndarray, count: int, seed: int = 3) -> np.ndarray:
         cut = 0.5 * float((c[1] ** 2).sum() - (c[0] ** 2).sum())
         at = int(np.clip((along <= cut).sum(), 0.3 * len(y), 0.7 * len(y)))
         order = np.argsort(along, kind="stable")
-        parts += [own[order[:at]], own[order[at:]]]
-    c = np.stack([x[p].mean(0) for p in parts])
+        for half in (own[order[:at]], own[order[at:]]):
+            made += 1
+            heapq.heappush(parts, (-len(half), made, half))
+    c = np.stack([x[p].mean(0) for _, _, p in parts])
     for _ in range(3):  # a few rounds of means; clusters that would starve keep their place
         near = nearest(x, c)
-        for k in np.unique(near):
-            c[k] = x[near == k].mean(0)
+        order = np.argsort(near, kind="stable")
+        kinds, starts = np.unique(near[order], return_index=True)
+        c[kinds] = np.add.reduceat(x[order].astype(np.float64), starts) / np.diff([*starts, len(x)])[:, None]
     return c.astype(np.float32)
 
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     half = 0.5 * (c**2).sum(1)
-    return np.concatenate([(x[k : k + 4096] @ c.T - half).argmax(1) for k in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
+    step = max(64, 2**24 // len(c))
+    return np.concatenate([(x[k : k + step] @ c.T - half).argmax(1) for k in range(0, len(x), step)]) if len(x) else np.zeros(0, np.int64)
 
 
 class Graph:
@@ -155,7 +161,7 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> dict[str, Graph]:
     sizes = {r["space"]: r["count"] for r in rows.groupBy("space").count().collect()}  # a row for each space
     out = {}
     for space, n in sorted(sizes.items()):
-        share = min(1.0, sample / n)
+        share = min(1.0, max(sample, min(MOST_SAMPLE, PER_LIST * (n // LIST))) / n)
         part = rows.where((F.col("space") == space) & (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))) if share < 1 else rows.where(F.col("space") == space)
         x = part.select("id", "x").toPandas()
         x = x.sort_values("id")["x"].tolist() if len(x) else rows.where(F.col("space") == space).limit(8).toPandas()["x"].tolist()
@@ -166,6 +172,11 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> dict[str, Graph]:
     return out
 
 
+def _small(df: DataFrame, n: int) -> DataFrame:
+    """df, broadcast where its n rows are proven few."""
+    return F.broadcast(df) if n <= FEW else df
+
+
 def neighbours(df: DataFrame, item: str, space: str, vector: str, dim: str, rank: str, k: int = 5, sample: int = SAMPLE) -> DataFrame:
     """(space, item, other, cosine, place): the k nearest other items of every item in its space.
 
@@ -178,7 +189,13 @@ def neighbours(df: DataFrame, item: str, space: str, vector: str, dim: str, rank
     ship(spark)
     ok = df.where(F.col(item).isNotNull() & F.col(space).isNotNull() & usable(F.col(vector), F.col(dim)))
     rows = ok.select(F.col(space).alias("space"), F.col(item).alias("id"), F.col(rank).alias("rank"), F.col(vector).alias("x"), F.xxhash64(space, vector).alias("v"))
-    rows = rows.groupBy("space", "id").agg(F.min_by(F.struct("x", "v"), F.struct("rank", "v")).alias("m")).select("space", "id", "m.x", "m.v")  # only the vector that counts
+    # only the vector that counts for each item is indexed; it is chosen by rank and hash, so that no vector is shuffled for it
+    chosen = settle(rows.groupBy("space", "id").agg(F.min_by("v", F.struct("rank", "v")).alias("v"), F.count_distinct("v").alias("of")))
+    doubtful = chosen.where("of > 1").select("space", "id")
+    if n := doubtful.count():
+        unused = rows.join(_small(doubtful, n), ["space", "id"], "left_semi").select("v").distinct().join(chosen.select("v"), "v", "left_anti")
+        unused = settle(unused)
+        rows = rows.join(_small(unused, unused.count()), "v", "left_anti")
     graphs = fit(rows, sample)
     names = sorted(graphs)
     sent = spark.sparkContext.broadcast(graphs)  # at most MOST_LISTS centroids and their links a space
@@ -192,20 +209,25 @@ def neighbours(df: DataFrame, item: str, space: str, vector: str, dim: str, rank
                 x = unit(np.stack(p["x"].tolist()))
                 row, lst, write = g.lists(x)
                 v, packed, blocks = p["v"].to_numpy(), pack(x), g.blocks[lst]
+                # a list cut into b blocks has b x b meetings: a vector reads in all of its row and is read in all of its column
                 home = v[row] % blocks
-                out = pd.DataFrame({"s": names.index(name), "l": lst, "block": home, "v": v[row], "write": write, "x": packed[row]})
+                out = pd.DataFrame({"s": names.index(name), "l": lst, "block": home * (blocks + 1), "v": v[row], "reads": True, "write": write, "x": packed[row]})
                 more = [out]
-                for j in np.flatnonzero(blocks > 1):  # a query reads every block of a list, but is written to one
-                    more.append(pd.DataFrame([(out["s"][j], lst[j], o, v[row[j]], False, packed[row[j]]) for o in range(blocks[j]) if o != home[j]], columns=out.columns))
+                for j in np.flatnonzero(blocks > 1):
+                    h, n = home[j], blocks[j]
+                    own = [(h * n + o, True, False) for o in range(n) if o != h] + [(o * n + h, False, True) for o in range(n) if o != h and write[j]]
+                    more.append(pd.DataFrame([(names.index(name), lst[j], at, v[row[j]], r, w, packed[row[j]]) for at, r, w in own], columns=out.columns))
                 yield pd.concat(more, ignore_index=True) if len(more) > 1 else out
 
-    lists = rows.select("space", "v", "x").mapInPandas(assign, "s int, l int, block int, v long, write boolean, x binary")
+    lists = rows.select("space", "v", "x").mapInPandas(assign, "s int, l int, block int, v long, reads boolean, write boolean, x binary")
 
     def meet(p: pd.DataFrame) -> pd.DataFrame:
         p = p.drop_duplicates("v")
         q, x = p["v"].to_numpy(), unpack(p["x"].tolist())
-        w = p["write"].to_numpy()
+        r, w = p["reads"].to_numpy(), p["write"].to_numpy()
         ids, y = q[w], x[w]
+        if not r.all():
+            q, x = q[r], x[r]
         out = []
         for at in range(0, len(q), 1024) if len(ids) else ():
             s = x[at : at + 1024] @ y.T
@@ -222,7 +244,7 @@ def neighbours(df: DataFrame, item: str, space: str, vector: str, dim: str, rank
     met = met.groupBy("v", "o").agg(F.max("cos").alias("cos"))
     near = met.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy(F.desc("cos"), "o"))).where(F.col("r") <= k).select("v", "o", F.col("cos").cast("double").alias("cos"))
     number = F.create_map(*[F.lit(x) for k_, name in enumerate(names) for x in (name, k_)]) if names else F.create_map(F.lit(""), F.lit(-1))
-    members = rows.select(F.element_at(number, F.col("space")).alias("s"), "id", "v")
+    members = chosen.select(F.element_at(number, F.col("space")).alias("s"), "id", "v")
     first = members.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1)
     first = first.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # at most k + 1 entries
     links = near.unionByName(first.where(F.size("ids") > 1).select("v", F.col("v").alias("o"), F.lit(1.0).alias("cos")))

@@ -169,7 +169,9 @@ def test_near_pairs_of_nothing(spark):
 # --------------------------------------------------------------------------- 4 neighbours
 
 
-def test_posting_lists_reach_the_recall(spark):
+@pytest.mark.parametrize("block", [postings.BLOCK, 300])
+def test_posting_lists_reach_the_recall(spark, monkeypatch, block):
+    monkeypatch.setattr(postings, "BLOCK", block)  # 300: lists are cut into blocks
     r = np.random.default_rng(1)
     c = r.normal(size=(40, 16))
     x = (c[r.integers(0, 40, 3_000)] + 0.3 * r.normal(size=(3_000, 16))).astype(np.float32)

@@ -25,10 +25,11 @@ LIST = 1_000  # vectors a list should own
 MOST_LISTS = 65_536  # per space, so that centroids and graph stay within tens of MB; beyond 65 million vectors lists grow and are searched in blocks
 DEGREE = 16  # links of a centroid in the graph
 BEAM = 24  # centroids a search keeps
-WRITE, WRITE_RATIO = 4, 1.2  # most lists a vector is written to; how much farther they may be than the nearest
-READ, READ_RATIO = 4, 1.2  # the same of the lists a query reads
+WRITE, WRITE_RATIO = 5, 1.06  # most lists a vector is written to; how much farther they may be than the nearest
+READ, READ_RATIO = 5, 1.06  # the same of the lists a query reads
 BLOCK = 20_000  # members, and readers, of one list that meet in a task; larger lists are cut
 FEW = 200_000  # keys that may be broadcast
+TOGETHER = 256  # vectors that search the graph side by side: their candidates fit in the processor's cache
 
 
 def usable(vector: Column, dim: Column) -> Column:
@@ -102,6 +103,10 @@ class Graph:
 
     def search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(lists, squared distances) in rising order for each unit vector; -1 pads."""
+        parts = [self._search(x[k : k + TOGETHER]) for k in range(0, len(x), TOGETHER)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n, B = len(self.c), len(x)
         beam = min(BEAM, n)
         score = x @ self.c[self.entries].T - self.half[self.entries]
@@ -111,11 +116,12 @@ class Graph:
         best = np.full((B, beam), -np.inf, np.float32)
         ids[:, :m], best[:, :m] = self.entries[top], np.take_along_axis(score, top, 1)
         if len(self.entries) < n:
-            open_ = ids >= 0
             rows = np.arange(B)
+            seen = np.zeros((B, n + 1), bool)  # the last place stands for -1
+            seen[:, self.entries] = seen[:, n] = True
+            open_ = ids >= 0
             for _ in range(12):
-                rank = np.where(open_, best, -np.inf)
-                pick = np.argpartition(-rank, 2, axis=1)[:, :3]
+                pick = np.argpartition(-np.where(open_, best, -np.inf), 2, axis=1)[:, :3]
                 live = np.take_along_axis(open_, pick, 1)
                 if not live.any():
                     break
@@ -123,11 +129,15 @@ class Graph:
                 new = np.where(live[:, :, None], self.links[np.take_along_axis(ids, pick, 1)], -1).reshape(B, -1)
                 new.sort(axis=1)
                 new[:, 1:][new[:, 1:] == new[:, :-1]] = -1
-                new[(new[:, :, None] == ids[:, None, :]).any(2)] = -1
-                s = np.einsum("bd,bkd->bk", x, self.c[new], optimize=False) - self.half[new]
-                s[new < 0] = -np.inf
-                ids, best = np.concatenate([ids, new], 1), np.concatenate([best, s], 1)
-                open_ = np.concatenate([open_, new >= 0], 1)
+                new[seen[rows[:, None], new]] = -1
+                seen[rows[:, None], new] = True
+                r, k = np.nonzero(new >= 0)
+                if not len(r):
+                    continue
+                at = new[r, k]
+                s = np.full(new.shape, -np.inf, np.float32)
+                s[r, k] = np.einsum("ij,ij->i", x[r], self.c[at]) - self.half[at]
+                ids, best, open_ = np.concatenate([ids, new], 1), np.concatenate([best, s], 1), np.concatenate([open_, new >= 0], 1)
                 keep = np.argpartition(-best, beam - 1, axis=1)[:, :beam]
                 ids, best, open_ = ids[rows[:, None], keep], best[rows[:, None], keep], open_[rows[:, None], keep]
         order = np.argsort(-best, axis=1)
@@ -144,6 +154,20 @@ class Graph:
         return row, ids[row, col], write[row, col]
 
 
+def first_k(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(columns, values) of the k largest entries of each row; s is used up.  A few passes for a maximum are cheaper than a partition."""
+    k = min(k, s.shape[1])
+    if k > 16:
+        at = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        return at, np.take_along_axis(s, at, 1)
+    rows, at, val = np.arange(len(s)), np.empty((len(s), k), np.int64), np.empty((len(s), k), s.dtype)
+    for j in range(k):
+        at[:, j] = s.argmax(1)
+        val[:, j] = s[rows, at[:, j]]
+        s[rows, at[:, j]] = -np.inf
+    return at, val
+
+
 def pack(x: np.ndarray) -> np.ndarray:
     """Unit vectors as 16-bit integers of their largest entry, an object array of bytes."""
     q = np.rint(x * (32767 / np.abs(x).max(1, keepdims=True))).astype("<i2")
@@ -229,12 +253,14 @@ def neighbours(df: DataFrame, item: str, space: str, vector: str, dim: str, rank
         if not r.all():
             q, x = q[r], x[r]
         out = []
-        for at in range(0, len(q), 1024) if len(ids) else ():
-            s = x[at : at + 1024] @ y.T
-            s[q[at : at + 1024, None] == ids[None]] = -np.inf
-            m = min(k, len(ids))
-            top = np.argpartition(-s, m - 1, axis=1)[:, :m]
-            val = np.take_along_axis(s, top, 1)
+        order = np.argsort(ids)
+        ids, y = ids[order], y[order]
+        for at in range(0, len(q), 256) if len(ids) else ():
+            s = x[at : at + 256] @ y.T
+            own = np.minimum(np.searchsorted(ids, q[at : at + 256]), len(ids) - 1)
+            self_ = np.flatnonzero(ids[own] == q[at : at + 256])
+            s[self_, own[self_]] = -np.inf
+            top, val = first_k(s, k)
             fine = np.isfinite(val)
             r, _ = np.nonzero(fine)
             out.append(pd.DataFrame({"v": q[at + r], "o": ids[top[fine]], "cos": val[fine]}))

@@ -2,8 +2,8 @@
 
 Training and inference share one set of parameters.  Inference is written for throughput: the
 input projection is a table lookup per character, both directions advance in one batched
-matrix product, and texts are cut into overlapping windows that are stitched before one Viterbi
-pass over the whole text.
+matrix product, and texts are cut into overlapping windows that are stitched before each whole text is
+decoded.
 """
 
 from __future__ import annotations
@@ -56,53 +56,53 @@ def _both(ids: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([fwd, np.take_along_axis(fwd, back, 0)], 1), back
 
 
-def _soft(x: np.ndarray, tmp: np.ndarray) -> np.ndarray:
-    """x / (1 + |x|) in place: a bounded activation without a transcendental function."""
-    np.abs(x, out=tmp)
-    tmp += 1
-    x /= tmp
-    return x
-
-
-def _gates(p: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Per gate: the input projection of every character (2, 4, V, H) and the recurrent weights (2, 4, H, H)."""
-    H = p["U"].shape[1]
-    t = np.matmul(p["emb"][None], p["Wx"]) + p["b"]
-    split = lambda w: np.ascontiguousarray(w.reshape(2, -1, 4, H).transpose(0, 2, 1, 3), dtype=np.float32)
-    return split(t), split(p["U"])
+def _weights(p: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of outputs, characters and bias side by side (2, 4H, H + E + 1), and the characters' vectors (E, V); outputs are kept doubled."""
+    w = np.concatenate([p["U"] * 0.5, p["Wx"], p["b"]], 1).transpose(0, 2, 1)
+    return np.ascontiguousarray(w, dtype=np.float32), np.ascontiguousarray(p["emb"].T, dtype=np.float32)
 
 
 def emissions(p: dict, ids: np.ndarray, lens: np.ndarray, cache: dict | None = None) -> np.ndarray:
-    """(T, B, tags) scores for padded ids (B, T) of the given lengths."""
+    """(tags, B, T) scores for padded ids (B, T) of the given lengths.
+
+    Gates lie one below the other and texts side by side, so that each step is one product and
+    runs over whole gates.  The gates 0.5 + 0.5 x are kept as 1 + x; the halves are in the weights.
+    """
     cache = {} if cache is None else cache
-    if "gates" not in cache:
-        cache["gates"] = _gates(p)
-    table, U = cache["gates"]
-    H, (B, T) = U.shape[-1], ids.shape
+    if "weights" not in cache:
+        cache["weights"] = _weights(p)
+    w, emb = cache["weights"]
+    H, E, (B, T) = p["U"].shape[1], len(emb), ids.shape
     both, back = _both(ids.astype(np.intp), lens)
-    h, c = np.zeros((2, B, H), np.float32), np.zeros((2, B, H), np.float32)
-    g, x, tmp = (np.empty((2, 4, B, H), np.float32) for _ in range(3))
-    small = np.empty((2, B, H), np.float32)
-    out = np.empty((T, 2, B, H), np.float32)
-    sig = g[:, :3]
+    state = np.zeros((2, H + E + 1, B), np.float32)
+    state[:, -1] = 1
+    h, chars = state[:, :H], state[:, H : H + E]
+    c, small = np.zeros((2, H, B), np.float32), np.empty((2, H, B), np.float32)
+    g, tmp = np.empty((2, 4 * H, B), np.float32), np.empty((2, 4 * H, B), np.float32)
+    out = np.empty((T, 2, H, B), np.float32)
+    enter, keep, leave, new = (g[:, k * H : (k + 1) * H] for k in range(4))
+    sig = g[:, : 3 * H]
     for t in range(T):
-        np.matmul(h[:, None], U, out=g)
-        np.take(table[0], both[t, 0], axis=1, out=x[0], mode="clip")
-        np.take(table[1], both[t, 1], axis=1, out=x[1], mode="clip")
-        g += x
-        _soft(g, tmp)
-        sig *= 0.5
-        sig += 0.5
-        c *= g[:, 1]
-        np.multiply(g[:, 0], g[:, 3], out=small)
+        emb.take(both[t, 0], axis=1, out=chars[0], mode="clip")
+        emb.take(both[t, 1], axis=1, out=chars[1], mode="clip")
+        np.matmul(w, state, out=g)
+        np.abs(g, out=tmp)  # x / (1 + |x|): a bounded activation without a transcendental function
+        tmp += 1
+        g /= tmp
+        sig += 1
+        c *= keep
+        np.multiply(enter, new, out=small)
         c += small
-        h = out[t]
-        h[...] = c
-        _soft(h, small)
-        h *= g[:, 2]
-    b = out[:, 1][back, np.arange(B)[None]]
-    e = out[:, 0].reshape(-1, H) @ p["Wo"][:H] + b.reshape(-1, H) @ p["Wo"][H:] + p["bo"]
-    return e.reshape(T, B, -1)
+        c *= 0.5
+        np.abs(c, out=small)
+        small += 1
+        np.divide(c, small, out=small)
+        np.multiply(small, leave, out=h)
+        out[t] = h
+    part = lambda m, o: np.matmul(np.ascontiguousarray(m.T * 0.5), o)
+    e = part(p["Wo"][:H], out[:, 0]).transpose(1, 2, 0)
+    e = e + part(p["Wo"][H:], out[:, 1]).transpose(1, 2, 0)[:, np.arange(B)[:, None], back.T]
+    return e + p["bo"][:, None, None]
 
 
 def viterbi(p: dict, em: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -243,37 +243,69 @@ def cut(length: int) -> list[tuple[int, int]]:
     return [*out, (at, length)]
 
 
-def may_tag(trans: np.ndarray, em: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Whether the best path of each text can hold another tag than O; never false where it does.
+def stretches(trans: np.ndarray, em: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, after) of the stretches outside of which the best path of each text is O throughout.
 
-    em holds the scores of all texts end to end.  A stretch of other tags gains at most the sum of
-    its score leads over O, and of what inner transitions are better than O to O, and pays at
-    least for one change from or to O.  If no stretch's gain (a largest sum of neighbours) reaches
-    the price, the best path is O throughout.
+    em (tags, characters) holds the scores of all texts end to end, starts where each begins.  A run of other tags
+    gains at most the sum of its score leads over O, and of what inner transitions are better than
+    O to O, and pays at least for one change from or to O, unless it is the whole text.  A character
+    may be part of such a run only if the largest sum of neighbours that holds it reaches the price.
     """
     inner = max(0.0, float(trans[1:, 1:].max() - trans[0, 0]))
     price = float(trans[0, 0] - max(trans[0, 1:].max(), trans[1:, 0].max()))
-    lead = (em[:, 1:].max(1) - em[:, 0] + inner).astype(np.float64)
-    step = lead.copy()
-    step[starts] -= 1e6  # sums of neighbours don't reach over the start of a text
-    g = np.cumsum(step)
-    low = np.minimum.accumulate(g)
-    best = np.maximum(lead, np.concatenate([[-np.inf], g[1:] - low[:-1]]))
-    return np.maximum.reduceat(best, starts) >= price
+    lead = (em[1:].max(0) - em[0] + inner).astype(np.float64)
+
+    def upto(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The largest sum of neighbours that ends at each character, within its text."""
+        step = x.copy()
+        step[first] -= 1e6  # sums don't reach over the start of a text
+        g = np.cumsum(step)
+        return np.maximum(x, np.concatenate([[-np.inf], g[1:] - np.minimum.accumulate(g)[:-1]]))
+
+    ends = np.append(starts[1:], len(lead)) - 1
+    held = upto(lead, starts) + upto(lead[::-1], len(lead) - 1 - ends[::-1])[::-1] - lead >= price - 1e-3
+    held |= np.repeat(np.add.reduceat(lead, starts) >= -1e-3, ends - starts + 1)
+    edge = np.zeros(len(lead) + 1, bool)
+    edge[starts] = edge[-1] = True
+    prev, nxt = np.append(False, held[:-1]), np.append(held[1:], False)
+    return np.flatnonzero(held & (~prev | edge[:-1])), np.flatnonzero(held & (~nxt | edge[1:])) + 1
+
+
+def decode(p: dict, em: np.ndarray, starts: np.ndarray, most: int = 400_000) -> np.ndarray:
+    """The best path of each of the texts laid end to end.  Each stretch that may hold another tag than O is decoded
+    by itself, with O before and after it, which gives the best path of the whole text."""
+    tags = np.zeros(em.shape[1], np.int8)
+    a, b = stretches(p["trans"], em, starts)
+    opens, closes = np.isin(a, starts, invert=True), np.isin(b, np.append(starts[1:], em.shape[1]), invert=True)
+    order = np.argsort(b - a, kind="stable")
+    at = 0
+    while at < len(order):
+        n = 1
+        while at + n < len(order) and (n + 1) * (b - a)[order[at + n]] <= most:
+            n += 1
+        k = order[at : at + n]
+        lens = b[k] - a[k]
+        where = a[k][:, None] + np.minimum(np.arange(lens[-1]), lens[:, None] - 1)
+        x = em[:, where]
+        x[:, opens[k], 0] += p["trans"][0][:, None]
+        x[:, closes[k], lens[closes[k]] - 1] += p["trans"][:, :1]
+        best = viterbi(p, np.ascontiguousarray(x.transpose(2, 0, 1)), lens)
+        live = np.arange(lens[-1]) < lens[:, None]
+        tags[where[live]] = best[live]
+        at += n
+    return tags
 
 
-def tag_texts(p: dict, texts: list[str], cache: dict | None = None, batch_chars: int = 200_000) -> list[np.ndarray]:
+def tag_texts(p: dict, texts: list[str], cache: dict | None = None, batch_chars: int = 150_000) -> list[np.ndarray]:
     """Tags of every character of every text: windows are scored in batches of like length, each
-    character takes the scores of the window it lies deepest in, and one Viterbi pass decodes each
-    whole text."""
+    character takes the scores of the window it lies deepest in, and each whole text is decoded."""
     cache = {} if cache is None else cache
     codes = [encode(t) for t in texts]
     wins = [(b - a, i, a, b) for i, x in enumerate(codes) for a, b in cut(len(x)) if b > a]
     wins.sort(key=lambda w: w[0])
     size = np.array([len(x) for x in codes], np.int64)
-    all_scores = np.empty((int(size.sum()), len(TAGS)), np.float32)
+    scores = np.empty((len(TAGS), int(size.sum())), np.float32)
     start = np.cumsum(size) - size
-    scores = [all_scores[a : a + n] for a, n in zip(start, size)]
     at = 0
     while at < len(wins):
         n = 1
@@ -283,28 +315,13 @@ def tag_texts(p: dict, texts: list[str], cache: dict | None = None, batch_chars:
         ids = np.zeros((n, part[-1][0]), np.int32)
         for k, (m, i, a, b) in enumerate(part):
             ids[k, :m] = codes[i][a:b]
-        em = emissions(p, ids, np.array([w[0] for w in part]), cache).transpose(1, 0, 2)
+        em = emissions(p, ids, np.array([w[0] for w in part]), cache)
         for k, (m, i, a, b) in enumerate(part):
             lo = a + OVERLAP // 2 if a else 0
             hi = b - OVERLAP // 2 if b < len(codes[i]) else b
-            scores[i][lo:hi] = em[k, lo - a : hi - a]
-        at += n
-    filled = np.flatnonzero(size)
-    open_ = filled[may_tag(p["trans"], all_scores, start[filled])].tolist() if len(filled) else []
-    order = sorted(open_, key=lambda i: len(codes[i]))
-    tags: list[np.ndarray] = [np.zeros(len(x), np.int8) for x in codes]
-    at = 0
-    while at < len(order):
-        n = 1
-        while at + n < len(order) and (n + 1) * len(codes[order[at + n]]) <= 2 * batch_chars:
-            n += 1
-        part = order[at : at + n]
-        lens = np.array([len(codes[i]) for i in part])
-        em = np.zeros((lens[-1], len(TAGS), n), np.float32)
-        for k, i in enumerate(part):
-            em[: lens[k], :, k] = scores[i]
-        best = viterbi(p, em, lens)
-        for k, i in enumerate(part):
-            tags[i] = best[k, : lens[k]]
+            scores[:, start[i] + lo : start[i] + hi] = em[:, k, lo - a : hi - a]
         at += n
-    return tags
+    if not scores.size:
+        return [np.zeros(0, np.int8) for _ in codes]
+    tags = decode(p, scores, start[size > 0])
+    return [tags[a : a + n] for a, n in zip(start, size)]

@@ -247,6 +247,18 @@ def test_languages_of_mixed_texts(spark):
 # --------------------------------------------------------------------------- 6 personal information
 
 
+def test_decoding_of_stretches_equals_decoding_of_whole_texts():
+    r = np.random.default_rng(4)
+    p = {"trans": np.where(np.eye(6) > 0, 2.0, -1.5).astype(np.float32) + r.normal(0, 0.2, (6, 6)).astype(np.float32)}
+    sizes = r.integers(1, 90, 300)
+    em = r.normal(0, 1.2, (6, sizes.sum())).astype(np.float32)
+    em[0] += 1.5
+    starts = np.cumsum(sizes) - sizes
+    got = pii_model.decode(p, em, starts, most=500)
+    want = np.concatenate([pii_model.viterbi(p, np.ascontiguousarray(em[:, a : a + n].T[:, :, None]), np.array([n]))[0] for a, n in zip(starts, sizes)])
+    assert (got == want).all() and 0 < (want > 0).mean() < 0.9
+
+
 def test_tagger_finds_and_redacts(spark):
     texts = [
         ("1", "Please ask Nora Velkorin about the keys. Call me on +44 7700 900123 after six."),

@@ -1,13 +1,15 @@
 """Near-duplicate texts: an exact similarity join on word shingles by multiple-global-order filtering.
 
-Two sets of sizes m <= n with Jaccard similarity >= t share at least t/(1+t) (m+n) tokens, so under
-any global order of tokens the first n - ceil(t n) + l tokens of the larger and of the smaller
-share at least l.  The first order puts rare tokens first.  As l shared tokens fall into l - 1
-hash classes, two of them fall into one class: a pair of prefix tokens of one class is the join
-key, which is far rarer than a single token and keeps the join from growing with the square of the
-table.  Each key carries a bitmap of its whole set: a bit that one set has and the other lacks stands
-for a token they don't share, so unlike sets part within the join.  Candidates must then share prefix tokens under two further orders, before the sets are
-compared exactly.  Texts with the same set are one class and are compared once.
+Two sets of sizes m <= n with Jaccard similarity >= t share at least o = t/(1+t) (m+n) >= t n tokens.
+The first order puts rare tokens first and those of a bounded list of frequent ones last.  If two
+similar sets share a rare token, their first shared token is rare and among the first n - t n + 1 of
+either: such rare tokens are join keys by themselves.  Else all they share is frequent, so both sets
+hold at least t n frequent tokens, and the first n' - t n + l of these share at least l.  As l shared
+tokens fall into l - 1 hash classes, two of them fall into one class: pairs of one class are the keys,
+which are rarer than a frequent token.  Each key carries a bitmap of its whole set: a bit that one set
+has and the other lacks stands for a token they don't share, so unlike sets part within the join.
+Candidates must then share prefix tokens under two further orders, before the sets are compared
+exactly.  Texts with the same set are one class and are compared once.
 """
 
 from __future__ import annotations
@@ -19,9 +21,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settle, ship
+from ..session import settle, ship, stored
 
-HEAVY = 1e-3  # a token in more than this share of the sets is ordered by its count, so there are at most size/HEAVY of them
+HEAVY, RARE = 1e-3, 20  # a token in more than this share of the sets, and in more than so many, is frequent: at most mean size / HEAVY are
+FEW = 1_000_000  # ids of copies that may be broadcast
 NARROW = 5_000_000  # up to so many sets a key of 32 bits leaves few false candidates; more sets have keys of 64 bits
 
 
@@ -42,7 +45,7 @@ def shingles(df: DataFrame, key: str, text: str, size: int = 5, least_words: int
     return w.select("kind", "key", sh.alias("sh")).select("kind", "key", F.xxhash64("kind", F.size("sh"), F.array_sort("sh")).alias("c"), "sh")
 
 
-EDGES = (1, 8, 30, 160)  # steps of set size; beyond the last each step doubles
+EDGES = (1, 8, 30, 240)  # steps of set size; beyond the last each step doubles
 
 
 def steps(largest: int, t: float) -> list[tuple[int, int]]:
@@ -68,8 +71,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def signatures(flat: np.ndarray, sizes: np.ndarray, seeds: np.ndarray, heavy: np.ndarray, counts: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
     """(set number, join key) of sets laid end to end; two sets of one seed with similarity t or more share a key.
 
-    heavy are the frequent tokens in rising order, counts their counts.  A pair's keys are made in
-    the size step of its larger set, so a smaller set makes them for each step a partner may be in.
+    heavy are the frequent tokens in rising order, counts their counts.  Keys of frequent tokens are
+    made in the size step of a pair's larger set, so a smaller set makes them for each step a partner
+    may be in.
     """
     if not len(flat):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -82,14 +86,17 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, seeds: np.ndarray, heavy: np
         freq = np.where(heavy[at] == tok, counts[at], 0)
     h = _mix(tok + (1 << 31))
     order = np.lexsort((h, freq, doc))
-    h = h[order]
+    h, frequent = h[order], freq[order] > 0
     rank = np.arange(len(tok)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    docs, keys = [], []
+    least = np.ceil(t * sizes - 1e-9).astype(np.int64)  # tokens that a similar set shares
+    rare = ~frequent & (rank <= (sizes - least)[doc])
+    docs, keys = [doc[rare]], [h[rare]]
+    among = np.bincount(doc[frequent], minlength=len(sizes))
+    rank -= (sizes - among)[doc]
     for k, (edge, classes) in enumerate(steps(int(sizes.max() / t) + 1, t)):
         top = EDGES[k + 1] if k + 1 < len(EDGES) else 2 * edge
-        use = (sizes < top) & (sizes / t >= edge - 1e-9)
-        length = np.where(use, np.minimum(sizes, sizes - np.ceil(t * sizes - 1e-9).astype(np.int64) + classes + 1), 0)
-        keep = rank < length[doc]
+        use = (among >= least) & (sizes < top) & (sizes / t >= edge - 1e-9)
+        keep = frequent & (rank < np.where(use, among - least + classes + 1, 0)[doc])
         d, x = doc[keep], h[keep]
         if not len(d):
             continue
@@ -108,8 +115,6 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, seeds: np.ndarray, heavy: np
         else:
             docs.append(d)
             keys.append(x + np.uint64(k + 1))
-    if not docs:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     d = np.concatenate(docs)
     return d, _mix(np.concatenate(keys) ^ _mix(seeds.astype(np.uint64))[d]).view(np.int64)
 
@@ -155,7 +160,7 @@ def similar_sets(reps: DataFrame, t: float) -> DataFrame:
         if held:
             yield flush(held)
 
-    heavy = reps.select("sh").mapInPandas(count, "h int, n long").groupBy("h").agg(F.sum("n").alias("count")).where(F.col("count") > max(20, HEAVY * n)).toPandas().sort_values("h")
+    heavy = reps.select("sh").mapInPandas(count, "h int, n long").groupBy("h").agg(F.sum("n").alias("count")).where(F.col("count") > max(RARE, HEAVY * n)).toPandas().sort_values("h")
     frequent = spark.sparkContext.broadcast((heavy["h"].to_numpy(np.int64), heavy["count"].to_numpy(np.int64)))
     shift = 32 if n <= NARROW else 0
 
@@ -206,10 +211,17 @@ def _fetch(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _sets(df: DataFrame, key: str, text: str, size: int, least_words: int, kind: str | None) -> tuple[DataFrame, DataFrame]:
-    sh = shingles(df, key, text, size, least_words, kind)
-    members = sh.select("kind", "key", "c").distinct()
-    reps = settle(sh.groupBy("c").agg(F.first("kind").alias("kind"), F.first("sh").alias("sh")).withColumn("id", F.monotonically_increasing_id()))
-    return members, reps
+    """Members (kind, key, c) and one set (kind, c, id, sh) of each c.
+
+    Shingles are made once and stored; which rows are copies is decided on their hashes, so no set
+    is shuffled unless there are more than FEW copies.
+    """
+    rows = stored(shingles(df, key, text, size, least_words, kind).withColumn("id", F.monotonically_increasing_id()))
+    first = rows.groupBy("c").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("c", "first")
+    copies = settle(rows.select("c", "id").join(first, "c").where("id <> first").select("id"))
+    n = copies.count()
+    reps = rows.join(F.broadcast(copies) if n <= FEW else copies, "id", "left_anti") if n else rows
+    return rows.select("kind", "key", "c").distinct(), reps.select("kind", "c", "id", "sh") if n <= FEW else stored(reps.select("kind", "c", "id", "sh"))
 
 
 def near_pairs(df: DataFrame, key: str, text: str, t: float = 0.8, size: int = 5, least_words: int = 5, kind: str | None = None) -> DataFrame:

@@ -118,8 +118,11 @@ def _brute_pairs(texts, t, k, least):
     return {(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b]) - 1e-9}
 
 
+@pytest.mark.parametrize("often", [neardup.RARE, 2])
 @pytest.mark.parametrize("t,k,least,size", [(0.6, 3, 40, 60), (0.8, 5, 5, 14), (0.6, 3, 3, 8), (0.7, 3, 40, 300)])
-def test_near_pairs_match_brute_force(spark, t, k, least, size):
+def test_near_pairs_match_brute_force(spark, monkeypatch, t, k, least, size, often):
+    monkeypatch.setattr(neardup, "RARE", often)  # 2: most tokens are frequent
+    monkeypatch.setattr(neardup, "FEW", 10**6 if often == 2 else 0)
     r = random.Random(size)
     vocab = [f"w{j}" for j in range(60)]
     texts = []
@@ -142,8 +145,8 @@ def test_sets_that_share_only_neighbouring_prefix_tokens_have_a_key():
         tok = r.choice(2**31 - 1, 100, replace=False)
         common, passage, own = tok[:43], tok[43:60], tok[60:]
         a, b = np.concatenate([common, passage]), np.concatenate([passage, common, own])
-        heavy = np.sort(common)
-        d, keys = neardup.signatures(np.concatenate([a, b]), np.array([60, 100]), np.zeros(2, np.int64), heavy, np.arange(1, 44), 0.6)
+        heavy = np.sort(np.concatenate([common, passage]) if r.random() < 0.5 else common)
+        d, keys = neardup.signatures(np.concatenate([a, b]), np.array([60, 100]), np.zeros(2, np.int64), heavy, np.arange(1, len(heavy) + 1), 0.6)
         assert set(keys[d == 0]) & set(keys[d == 1])
 
 

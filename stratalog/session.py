@@ -59,6 +59,8 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # so that the shuffle files of df are deleted
     return spark.read.schema(df.schema).parquet(path)
 
 

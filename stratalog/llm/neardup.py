@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ..session import settle, ship, stored
 
 HEAVY, RARE = 1e-3, 20  # a token in more than this share of the sets, and in more than so many, is frequent: at most mean size / HEAVY are
+LARGE = 4  # words of 64 bits of the bitmaps that candidates are compared by
 FEW = 1_000_000  # ids of copies that may be broadcast
 NARROW = 5_000_000  # up to so many sets a key of 32 bits leaves few false candidates; more sets have keys of 64 bits
 
@@ -127,8 +128,56 @@ def bitmaps(flat: np.ndarray, sizes: np.ndarray, words: int) -> list[np.ndarray]
     return [np.bitwise_or.reduceat(np.where(at >> np.uint64(6) == w, bit, np.uint64(0)), start).view(np.int64) for w in range(words)]
 
 
+def alike(x: list[np.ndarray], y: list[np.ndarray], t: float) -> np.ndarray:
+    """Whether x (sizes, bitmap words) and y differ in no more bits than sets of similarity t may differ in tokens."""
+    share = np.ceil(t / (1 + t) * (x[0] + y[0]) - 1e-6)
+    lack = lambda u, v: sum(np.bitwise_count(p & ~q).astype(np.int64) for p, q in zip(u[1:], v[1:]))
+    return (lack(x, y) <= x[0] - share) & (lack(y, x) <= y[0] - share)
+
+
+def meetings(batches: Iterator[pd.DataFrame], t: float, least: int = 300_000) -> Iterator[pd.DataFrame]:
+    """(a, b) of rows (k, id, n, bitmap words) sorted by k: the ids of one k that may be similar.
+
+    Rows are taken in pieces of whole runs of one k, so memory holds about least rows or one run.
+    """
+
+    def piece(p: pd.DataFrame) -> pd.DataFrame:
+        k, i = p["k"].to_numpy(), p["id"].to_numpy()
+        cols = [p[c].to_numpy() for c in p.columns if c not in ("k", "id")]
+        cols = [cols[0].astype(np.float64), *(c.view(np.uint64) for c in cols[1:])]
+        end = np.append(np.flatnonzero(k[1:] != k[:-1]) + 1, len(k))
+        end = np.repeat(end, np.diff(end, prepend=0))
+        at, gap, out = np.arange(len(k)), 1, []
+        while len(at := at[end[at] - at > gap]):
+            size, other = cols[0][at], cols[0][at + gap]
+            x = at[np.minimum(size, other) >= t * np.maximum(size, other) - 1e-6]
+            if len(x):
+                x = x[alike([c[x] for c in cols], [c[x + gap] for c in cols], t)]
+                out.append((i[x], i[x + gap]))
+            gap += 1
+        a, b = (np.concatenate([o[j] for o in out]) if out else np.zeros(0, np.int64) for j in (0, 1))
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        return pd.DataFrame({"a": a, "b": b})[a < b].drop_duplicates()
+
+    held: list[pd.DataFrame] = []
+    rows = 0
+    for p in batches:
+        held.append(p)
+        rows += len(p)
+        if rows >= least:
+            p = pd.concat(held, ignore_index=True)
+            last = int(np.searchsorted(p["k"].to_numpy(), p["k"].iloc[-1]))
+            if last:
+                yield piece(p.iloc[:last])
+            held = [p.iloc[last:]]
+            rows = len(held[0])
+            least = max(least, 2 * rows)  # a long run isn't joined again and again
+    if rows:
+        yield piece(pd.concat(held, ignore_index=True))
+
+
 def _near(x: str, y: str, t: float, words: int) -> str:
-    """SQL: x{n, b0, ...} and y{...} differ in no more bits than sets of similarity t may differ in tokens."""
+    """SQL of alike for x{n, b0, ...} and y{...}."""
     share = f"ceil({t / (1 + t)!r} * ({x.format('n')} + {y.format('n')}) - 1e-6)"
     lack = lambda u, v: " + ".join(f"bit_count({u.format(f'b{w}')} & ~{v.format(f'b{w}')})" for w in range(words))
     return f"{lack(x, y)} <= {x.format('n')} - {share} and {lack(y, x)} <= {y.format('n')} - {share}"
@@ -179,16 +228,16 @@ def similar_sets(reps: DataFrame, t: float) -> DataFrame:
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sh = b["sh"].tolist()
-            sizes = np.array([len(x) for x in sh])
-            yield pd.DataFrame({"id": b["id"], "n": sizes, **{f"b{w}": x for w, x in enumerate(bitmaps(np.concatenate(sh), sizes, 8))}}) if sh else pd.DataFrame({c: [] for c in ("id", "n", *(f"b{w}" for w in range(8)))})
+            if sh := b["sh"].tolist():
+                sizes = np.array([len(x) for x in sh])
+                yield pd.DataFrame({"id": b["id"], "n": sizes, **{f"b{w}": x for w, x in enumerate(bitmaps(np.concatenate(sh), sizes, LARGE))}})
 
     keys = reps.select("id", F.xxhash64("kind").alias("seed"), "sh").mapInPandas(run, f"k {'int' if shift else 'long'}, id long, n int, b0 long, b1 long")
-    cand = keys.alias("x").join(keys.alias("y"), F.expr(f"x.k = y.k and x.id < y.id and {_near('x.{}', 'y.{}', t, 2)}")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    cand = settle(cand)
+    met = keys.repartition("k").sortWithinPartitions("k").mapInPandas(lambda rows: meetings(rows, t), "a long, b long").distinct()
+    cand = stored(met)
     # larger bitmaps, one a set, part what the small ones in the keys let pass
-    large = reps.select("id", "sh").mapInPandas(sketch, "id long, n int, " + ", ".join(f"b{w} long" for w in range(8)))
-    cand = settle(_fetch(cand, large).where(_near("{}_a", "{}_b", t, 8)).select("a", "b"))
+    large = reps.select("id", "sh").mapInPandas(sketch, "id long, n int, " + ", ".join(f"b{w} long" for w in range(LARGE)))
+    cand = stored(_fetch(cand, large).where(_near("{}_a", "{}_b", t, LARGE)).select("a", "b"))
     ends = cand.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     both = _fetch(cand, reps.join(ends, "id", "left_semi").select("id", "c", "sh"))
 

@@ -1,15 +1,17 @@
 """Template residue and error-page text, by TF-IDF containment against labelled exemplars.
 
-A text's running part (without code fences and quoted code) is cut into passage windows.  An
-inverted index of the exemplars' words retrieves, for each window, the exemplars that share a word
-with it; a window is residue if it covers enough of the exemplar's weight and the exemplar covers
-enough of the window's.  Word weights come from document frequencies over the whole table.
+A text's running part (without code fences and quoted code) is cut into passage windows: sentences,
+placeholders, and the words that lead to a value that was never filled in.  An inverted index of the
+exemplars' words retrieves, for each window, the exemplars that share a word with it; a window is
+residue if it covers enough of the exemplar's weight and the exemplar covers enough of the window's.
+Word weights come from document frequencies over the whole table.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,7 +20,8 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
-FIELD, VOID = "fieldmark", "voidmark"  # stand for a placeholder and for a value never filled in
+VOID = "voidmark"  # stands for a value never filled in
+LEAD = 9  # most words before such a value that are read with it
 
 # The written forms of unfilled fields and of missing values.
 FIELD_FORM = re.compile(
@@ -30,6 +33,11 @@ FIELD_FORM = re.compile(
     re.I,
 )
 VOID_FORM = re.compile(r"(?<![\w.=\"'])(?:null|undefined|NaN|\[object Object\]|#REF!|#N/A)(?![\w(=\"'])")
+# Words that stand for the opening marks of placeholders.
+SHAPES = {
+    "{{": "markcurlytwo", "{%": "markcurlypercent", "<%": "markanglepercent", "${": "markdollar", "#{": "markhash", "%%": "markpercent",
+    "@@": "markat", "__": "markunderline", "[[": "marksquaretwo", "{": "markcurly", "[": "marksquare", "<": "markangle",
+}
 WORD = re.compile(r"[^\W_]+")
 FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]*`", re.S)
 TAG = re.compile(r"</?(?:noscript|html|head|body|title|center|h\d|hr|p|br|div|span)\b[^>]*>", re.I)
@@ -46,12 +54,13 @@ ERRORS = [
     "internal server error", "service temporarily unavailable 503", "service unavailable", "too many requests", "access denied", "permission denied",
     "oops something went wrong while loading this conversation", "something went wrong please try again later", "an unexpected error occurred",
     "this site can't be reached", "the connection has timed out",
+    "this shared link has expired or was removed", "this link has expired", "your session has expired please sign in again", "the server is temporarily unable to service your request", "the service is temporarily unavailable", "bad gateway", "gateway timeout",
     "traceback most recent call last", "unhandled exception", "segmentation fault core dumped", "fatal error uncaught",
-    "ошибка 404 страница не найдена", "страница не найдена", "внутренняя ошибка сервера повторите позже", "доступ запрещён", "сервис временно недоступен", "что-то пошло не так",
-    "помилка 404 сторінку не знайдено", "сторінку не знайдено", "внутрішня помилка сервера спробуйте пізніше", "доступ заборонено",
-    "fehler 404 seite nicht gefunden", "seite nicht gefunden", "interner serverfehler bitte später erneut versuchen", "zugriff verweigert",
-    "erreur 404 page introuvable", "page introuvable", "erreur interne du serveur réessayez plus tard", "accès refusé",
-    "error 404 página no encontrada", "página no encontrada", "error interno del servidor inténtelo más tarde", "acceso denegado",
+    "ошибка 404 страница не найдена", "страница не найдена", "внутренняя ошибка сервера повторите позже", "доступ запрещён", "сервис временно недоступен", "служба временно недоступна", "срок действия ссылки истёк или она удалена", "что-то пошло не так",
+    "помилка 404 сторінку не знайдено", "сторінку не знайдено", "внутрішня помилка сервера спробуйте пізніше", "доступ заборонено", "сервіс тимчасово недоступний", "служба тимчасово недоступна", "термін дії посилання минув або його видалено", "щось пішло не так",
+    "fehler 404 seite nicht gefunden", "seite nicht gefunden", "interner serverfehler bitte später erneut versuchen", "zugriff verweigert", "der dienst ist vorübergehend nicht erreichbar", "der dienst ist vorübergehend nicht verfügbar", "dieser link ist abgelaufen oder wurde entfernt", "etwas ist schiefgelaufen",
+    "erreur 404 page introuvable", "page introuvable", "erreur interne du serveur réessayez plus tard", "accès refusé", "le service est temporairement indisponible", "ce lien a expiré ou a été supprimé", "une erreur est survenue",
+    "error 404 página no encontrada", "página no encontrada", "error interno del servidor inténtelo más tarde", "acceso denegado", "el servicio no está disponible temporalmente", "el servicio no está disponible en este momento", "este enlace ha caducado o fue eliminado", "algo salió mal",
 ]
 SCRIPTS = [
     "please enable javascript to continue using this site", "you need to allow cookies and scripts to view this page", "your browser is not supported or blocks scripts",
@@ -66,11 +75,12 @@ SCRIPTS = [
 ]
 FILLER = [
     "placeholder text to be replaced later", "sample text goes here", "type your notes in this field", "your text here", "enter a description", "insert text here", "description goes here", "add your content here",
-    "текст заглушка заменить позже", "здесь будет текст", "введите описание", "текст заглушка замінити пізніше", "тут буде текст", "введіть опис",
+    "текст заглушка заменить позже", "здесь будет текст", "введите описание", "текст заглушка замінити пізніше", "текст заповнювач замінити пізніше", "тут буде текст", "введіть опис",
     "blindtext bitte ersetzen", "hier steht später der text", "beschreibung eingeben", "texte de remplissage à remplacer plus tard", "le texte viendra ici", "saisissez une description",
     "texto de relleno sustituir más tarde", "aquí va el texto", "escriba una descripción",
 ]
 LOREM = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor tempora incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum vitae felis porta cursus lacus pulvinar tellus ornare mollis"
+STROKES = "x xx xxx xxxx asdf asdfgh qwerty qwertz text test blah foo bar lorem ipsum текст тест"  # typed again and again in place of content
 GREETINGS = ["dear {}", "hello {}", "hi {}", "здравствуйте {}", "уважаемый {}", "вітаємо {}", "шановний {}", "hallo {}", "liebe {}", "bonjour {}", "cher {}", "hola {}", "estimado {}"]
 SENTENCES = [
     "this summary was prepared for {}", "the next review is due on {} and goes to {}", "the next review is due on {}", "сводка подготовлена для {}", "звіт складено для {}",
@@ -78,33 +88,48 @@ SENTENCES = [
 ]
 
 
-def exemplars() -> list[tuple[str, str, float, float]]:
-    """(kind, text, least share of the exemplar's weight, least share of the window's weight)."""
-    out = [("field", FIELD, 1.0, 0.0)]
-    out += [("field", x.format(*[VOID] * 2), 0.7, 0.7) for x in GREETINGS + SENTENCES]
-    out += [("error", f"{c} {p}", 1.0, 0.99) for c, p in STATUS.items()]
-    out += [("error", f"{lead} {c}", 1.0, 0.99) for c in STATUS for lead in ("status", "http", "error", "error code", "ошибка", "помилка", "fehler", "erreur")]
-    out += [("error", p, 1.0, 0.99) for p in STATUS.values() if " " in p]
-    out += [("error", f"{lead} {c} {p}", 0.55, 0.8) for c, p in STATUS.items() for lead in ("error", "http", "status", "code message")]
-    out += [("error", f"detail {p}", 1.0, 0.99) for p in STATUS.values()]
-    out += [("error", x, 0.8, 0.8) for x in ERRORS]
-    out += [("error", f"error {p} status {c}", 0.7, 0.8) for c, p in STATUS.items()]
-    out += [("scripts", x, 0.8, 0.8) for x in SCRIPTS]
-    out += [("filler", x, 0.8, 0.8) for x in FILLER]
-    out.append(("lorem", LOREM, 0.0, 0.85))
-    return [(kind, text.lower(), a, b) for kind, text, a, b in out]
+def exemplars() -> list[tuple[str, str, float, float, int]]:
+    """(kind, text, least share of the exemplar's weight, least share of the window's weight, fewest words of the window in it)."""
+    out = [("field", x, 1.0, 0.1, 1) for x in SHAPES.values()]
+    out += [("field", x.format(*[VOID] * 2), 0.7, 0.7, 2) for x in GREETINGS + SENTENCES]
+    out += [("error", f"{c} {p}", 1.0, 0.99, 2) for c, p in STATUS.items()]
+    out += [("error", f"{lead} {c}", 1.0, 0.99, 2) for c in STATUS for lead in ("status", "http", "error", "error code", "ошибка", "помилка", "fehler", "erreur")]
+    out += [("error", p, 1.0, 0.99, 2) for p in STATUS.values() if " " in p]
+    out += [("error", f"{lead} {c} {p}", 0.55, 0.8, 2) for c, p in STATUS.items() for lead in ("error", "http", "status")]
+    out += [("error", f"code {c} message {p} trace", 0.7, 0.5, 4) for c, p in STATUS.items()]
+    out += [("error", f"detail {p}", 1.0, 0.99, 2) for p in STATUS.values()]
+    out += [("error", x, 0.8, 0.8, 2) for x in ERRORS]
+    out += [("error", f"error {p} status {c}", 0.7, 0.8, 2) for c, p in STATUS.items()]
+    out += [("scripts", x, 0.8, 0.8, 2) for x in SCRIPTS]
+    out += [("filler", x, 0.8, 0.8, 2) for x in FILLER]
+    out += [("filler", STROKES, 0.0, 0.9, 5), ("lorem", LOREM, 0.0, 0.85, 2)]
+    return [(kind, text.lower(), a, b, n) for kind, text, a, b, n in out]
 
 
 def tokens(window: str) -> list[str]:
-    w = FIELD_FORM.sub(f" {FIELD} ", window)
-    w = VOID_FORM.sub(f" {VOID} ", w)
+    """Lower-cased words; the opening mark of a placeholder and a value never filled in are words too."""
+
+    def field(m: re.Match) -> str:
+        return f" {SHAPES.get(m[0][:2]) or SHAPES[m[0][0]]} {m[0]} "
+
+    w = VOID_FORM.sub(f" {VOID} ", FIELD_FORM.sub(field, window))
     return [t.lower() for t in WORD.findall(w)]
 
 
 def windows(text: str) -> list[list[str]]:
-    """Passage windows of the running text: sentences, broken at line ends."""
+    """Passage windows of the running text: sentences, broken at line ends; each placeholder with what it names; and each
+    value that was never filled in with the words before it."""
     text = TAG.sub("\n", FENCE.sub("\n", text))
-    return [t for w in BREAK.split(text) if w and (t := tokens(w))]
+    out = []
+    for w in BREAK.split(text):
+        if not w or not (t := tokens(w)):
+            continue
+        out.append(t)
+        out += [tokens(m[0]) for m in FIELD_FORM.finditer(w)]
+        for k, word in enumerate(t):
+            if word == VOID:
+                out += [t[k - n : k + 1] for n in range(1, min(LEAD, k) + 1)]
+    return out
 
 
 class Index:
@@ -113,9 +138,9 @@ class Index:
     def __init__(self, idf: dict[str, float], plain: float):
         self.idf, self.plain = idf, plain
         self.rows, self.posts = [], {}
-        for k, (kind, text, a, b) in enumerate(exemplars()):
+        for k, (kind, text, a, b, n) in enumerate(exemplars()):
             words = set(WORD.findall(text))
-            self.rows.append((kind, words, sum(self.weight(w) for w in words), a, b))
+            self.rows.append((kind, words, sum(self.weight(w) for w in words), a, b, n))
             for w in words:
                 self.posts.setdefault(w, []).append(k)
 
@@ -123,43 +148,44 @@ class Index:
         return self.idf.get(w, self.plain)
 
     def match(self, toks: list[str]) -> tuple[str, float] | None:
-        """(kind, containment) of the best exemplar that the window matches."""
+        """(kind, containment) of the best exemplar that the window matches; containment is the smaller of the shares it must reach."""
         words = set(toks)
         hit = words & self.posts.keys()
         if not hit:
             return None
-        if FIELD in hit:
-            return "field", 1.0
         tf = {w: toks.count(w) for w in words}
         whole = sum(self.weight(w) * n for w, n in tf.items())
-        share = sum(self.weight(w) * tf[w] for w in hit)
-        if share < 0.7 * whole:
-            return None
         best = None
         for k in {k for w in hit for k in self.posts[w]}:
-            kind, ex, total, least_ex, least_win = self.rows[k]
+            kind, ex, total, least_ex, least_win, fewest = self.rows[k]
             both = words & ex
-            if kind == "lorem" and len(both) < 2:
-                continue
-            if kind == "error" and both <= {"error", "http", "status", "code", "message"}:
+            b = sum(self.weight(w) * tf[w] for w in both) / whole
+            if b < least_win or sum(tf[w] for w in both) < fewest or kind == "error" and both <= {"error", "http", "status", "code", "message"}:
                 continue
             a = sum(self.weight(w) for w in both) / total
-            b = sum(self.weight(w) * tf[w] for w in both) / whole
-            if a >= least_ex and b >= least_win and (best is None or min(a, b) > best[1]):
-                best = (kind, min(a, b) if kind != "lorem" else b)
+            if a >= least_ex and (best is None or (b if not least_ex else min(a, b)) > best[1]):
+                best = (kind, b if not least_ex else min(a, b))
         return best
 
 
 def vocabulary() -> list[str]:
-    return sorted({w for _, text, _, _ in exemplars() for w in WORD.findall(text)})
+    return sorted({w for _, text, *_ in exemplars() for w in WORD.findall(text)})
 
 
 def document_frequencies(df: DataFrame, text: str) -> tuple[int, dict[str, int]]:
-    """Number of texts, and of those that hold each word of the exemplars, over the whole table."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    held = df.select(F.array_append(F.array_intersect(words, F.array(*map(F.lit, vocabulary()))), F.lit("")).alias("w"))
-    rows = held.select(F.explode("w").alias("w")).groupBy("w").count().collect()  # at most one row for each word of the exemplars
-    by = {r["w"]: r["count"] for r in rows}
+    """Number of texts, and of those whose windows hold each word of the exemplars, over the whole table."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = frozenset(vocabulary())
+        n: Counter = Counter()
+        for b in batches:
+            for t in b[text]:
+                n[""] += 1
+                n.update({w for ws in windows(t) for w in ws} & known)
+        yield pd.DataFrame({"w": list(n.keys()), "n": list(n.values())})
+
+    rows = df.select(text).mapInPandas(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()  # at most one row for each word of the exemplars
+    by = {r["w"]: r["n"] for r in rows}
     return by.pop("", 0), by
 
 

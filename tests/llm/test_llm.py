@@ -364,3 +364,15 @@ def test_residue(spark):
     assert {r["doc_id"] for r in residue.score(df, "doc_id", "text").collect()} == {1, 5, 6, 8, 12, 13, 15}
     assert {r["doc_id"] for r in residue.without_residue(df, "doc_id", "text").collect()} == {2, 3, 4, 7, 9, 10, 11, 14}
     assert residue.score(df.where("false"), "doc_id", "text").count() == 0
+
+
+def test_every_kind_of_residue_has_a_containment(spark):
+    rows = [
+        (1, "Hello {{ user }}, the notes of the trip are ready."), (2, "Bonjour undefined, pour être clair, le rayon est vide."),
+        (3, '{"code": 503, "message": "Service Unavailable", "trace": "k1"}'), (4, "asdf asdf asdf asdf asdf asdf"), (5, "Lorem ipsum dolor sit amet, consectetur adipiscing elit."),
+        (6, "Please enable JavaScript to continue using this site."), (7, "This shared link has expired or was removed."),
+        (8, "The text was a text about another text, he said."), (9, "We wrote `{{ user }}` into the guide."), (10, "The value may be undefined when the key is null."),
+    ]
+    got = {r["doc_id"]: (r["kind"], r["containment"]) for r in residue.score(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: "field", 2: "field", 3: "error", 4: "filler", 5: "lorem", 6: "scripts", 7: "error"}
+    assert all(0 < c <= 1 for _, c in got.values())

@@ -27,11 +27,11 @@ def _messages():
     ]
 
 
-@pytest.mark.parametrize("files", [None, 1])
-def test_conversations(spark, tmp_path, files):
+@pytest.mark.parametrize("slices,idle_ms", [(None, conversations.IDLE_MS), (7, 0)])
+def test_conversations(spark, tmp_path, slices, idle_ms):
     path = str(tmp_path / "m.parquet")
     spark.createDataFrame(_messages(), MSG).repartition(3).write.parquet(path)
-    closed = conversations.replay(spark, path, files_per_batch=files)
+    closed = conversations.replay(spark, path, slices=slices, idle_ms=idle_ms)
     ids = spark.createDataFrame([(x,) for x in ("ok", "gap", "role", "twice", "open", "blank", "nullord", "two", "late", "none")], "id string")
     bad = {r[0] for r in conversations.unreadable(ids, closed).collect()}
     assert bad == {"gap", "role", "twice", "open", "blank", "nullord", "two", "none"}
@@ -39,6 +39,31 @@ def test_conversations(spark, tmp_path, files):
     assert turns == [("late", 1, "user", 1), ("late", 2, "assistant", 50_000), ("ok", 1, "user", 2), ("ok", 2, "assistant", 5)]
 
 
+def test_conversations_are_closed_while_the_archive_streams(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(conversations, "BUCKET_BYTES", 20)  # about a state for each conversation
+    day = lambda n: f"2024-{1 + n // 28:02d}-{1 + n % 28:02d}T00:00:00Z"
+    rows = [(f"{c}-{k}", f"c{c:03d}", k + 1, "user" if k % 2 == 0 else "assistant", None, day(c) if k else None, f"text {k}", None, "") for c in range(300) for k in range(2)]
+    rows += [("0-2", "c000", 3, "user", None, day(200), "again", None, ""), ("0-3", "c000", 4, "assistant", None, day(201), "yes", None, ""), ("0-0", "c000", 1, "user", None, day(250), "text 0", None, "")]
+    spark.createDataFrame(rows, MSG).write.parquet(str(tmp_path / "m.parquet"))
+    progress = []
+    closed = conversations.replay(spark, str(tmp_path / "m.parquet"), slices=10, progress=progress).cache()
+    early = closed.where("kind = 'block' and closed_at < '2025-01-01'")
+    assert early.select("conversation_id").distinct().count() > 200  # long before the control row
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in progress) < 100
+    assert closed.where("conversation_id = 'c000' and kind = 'block'").count() >= 3  # it goes on after it was closed, and a row comes again
+    v = {r["conversation_id"]: (r["readable"], r["messages"]) for r in conversations.verdicts(closed).collect()}
+    assert v.pop("c000") == (True, 4) and len(v) == 299 and set(v.values()) == {(True, 2)}
+    assert [r["text"] for r in conversations.rebuilt(closed).where("conversation_id = 'c000'").orderBy("turn").collect()] == ["text 0", "text 1", "again", "yes"]
+
+
+def test_conflicting_rows_of_one_message_are_settled_alike(spark, tmp_path):
+    rows = [("m1", "c", 1, "user", None, None, t, None, "") for t in ("beta", "alpha", "gamma")] + [("m2", "c", 2, "assistant", None, None, "\x1f", None, "")]
+    for k in range(2):
+        spark.createDataFrame(rows[:: 1 - 2 * k], MSG).coalesce(1).write.parquet(str(tmp_path / f"{k}.parquet"))
+        got = conversations.rebuilt(conversations.replay(spark, str(tmp_path / f"{k}.parquet"))).orderBy("turn").collect()
+        assert [r["text"] for r in got] == ["alpha", "\x1f"]
+
+
 def test_conversations_over_many_blocks(spark, tmp_path):
     n = conversations.BLOCK * 2 + 3
     rows = [(f"m{k}", "long", k + 1, "user" if k % 2 == 0 else "assistant", None, None, "t", None, "") for k in range(n + 1)]

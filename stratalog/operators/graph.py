@@ -161,8 +161,15 @@ def merge_paths(paths: list[DataFrame], by: list[str]) -> DataFrame:
 def within_budget(rows: DataFrame, by: str, key: str, score: str, tokens: str, budget: int) -> DataFrame:
     """(by, key): rows taken by falling score while their tokens fit; one that doesn't fit is passed over, the first always stays.
 
-    rows is what a bounded top-k left, so a group's rows are folded in one array.
+    What is taken never lets later rows fit better, so the taken rows of one token count are its first
+    ones, at most budget / tokens of them; all others are left out before a group's rows, which are
+    then about budget x ln(budget) at most, are folded in one array.
     """
+    rows = rows.withColumn(tokens, F.greatest(F.lit(1), F.col(tokens).cast("long")))  # a row has one token at least
+    size = F.least(F.col(tokens), F.lit(budget + 1))
+    w = Window.partitionBy(by, size).orderBy(F.desc(score), F.asc(key))
+    fits = lambda t: F.greatest(F.lit(1), F.floor(F.lit(budget) / t))
+    rows = rows.where(F.col(tokens).isNotNull() & F.col(score).isNotNull()).withColumn("_p", F.row_number().over(w)).where((F.col("_p") <= budget) & (F.col("_p") <= fits(size)))
     item = F.struct((-F.col(score)).alias("o"), F.col(key).alias("id"), F.col(tokens).cast("long").alias("t"))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("ids"))
 

@@ -1,4 +1,4 @@
-"""Retrieval: exact dense neighbours in blocks, sparse postings, fusion, ranks and provenance.
+"""Retrieval: exact dense and sparse neighbours in blocks, sparse postings, fusion, ranks and provenance.
 
 Every operator takes a table of queries, so one query is a table of one row.
 """
@@ -24,13 +24,32 @@ def top_rows(df: DataFrame, group: list[str], order: list[Column], k: int) -> Da
     return df.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("place") <= k)
 
 
-def _blocks(df: DataFrame, key: str, vector: str, space: str, block: int) -> DataFrame:
-    """(space, ids, matrix): rows of one space packed into matrices of about block rows."""
-    n = df.groupBy(F.col(space).alias("_s")).agg(F.ceil(F.count("*") / block).alias("_n"))
-    rows = df.select(F.col(space).alias("_s"), F.col(key).cast("string").alias("_k"), F.col(vector).alias("_v")).where(V.finite(F.col("_v")))
+def _packed(df: DataFrame, space: Column, key: str, value: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """(_s, _b, ids, sizes, flat), (_s, _n): rows of one space packed into blocks of about block rows, numbered from 0, and the number of blocks."""
+    rows = df.select(space.alias("_s"), F.col(key).cast("string").alias("_k"), F.col(value).alias("_v"))
+    n = rows.groupBy("_s").agg(F.ceil(F.count("*") / block).cast("long").alias("_n"))
     rows = rows.join(F.broadcast(n), "_s").withColumn("_b", F.pmod(F.xxhash64("_k"), F.col("_n")))
     packed = rows.groupBy("_s", "_b").agg(F.collect_list(F.struct("_k", "_v")).alias("rows"))  # about block rows each
-    return packed.select("_s", F.transform("rows", lambda r: r["_k"]).alias("ids"), F.flatten(F.transform("rows", lambda r: r["_v"])).alias("flat"))
+    part = lambda f: F.transform("rows", f)
+    return packed.select("_s", "_b", part(lambda r: r["_k"]).alias("ids"), part(lambda r: F.size(r["_v"])).alias("sizes"), F.flatten(part(lambda r: r["_v"])).alias("flat")), n
+
+
+def _meet(queries: DataFrame, rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Every block of queries with every block of rows of its space, each such pair by itself.
+
+    Blocks of queries are copied to the blocks of rows, which are joined by space and number: there
+    are as many keys as blocks of rows, so no task gets a whole space.
+    """
+    q = queries.join(F.broadcast(blocks), "_s").select("_s", F.col("ids").alias("qi"), F.col("sizes").alias("qn"), F.col("flat").alias("qf"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_b"))
+    r = rows.select("_s", "_b", F.col("ids").alias("ri"), F.col("sizes").alias("rn"), F.col("flat").alias("rf"))
+    return r.join(q, ["_s", "_b"]).select("qi", "qn", "qf", "ri", "rn", "rf")
+
+
+def _best(s: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's k largest entries above least, and of all that equal the last of them, so that ties are settled later."""
+    m = min(k, s.shape[1])
+    edge = -np.partition(-s, m - 1, axis=1)[:, m - 1 : m]
+    return np.nonzero((s >= edge) & (s > least))
 
 
 def exact_neighbours(queries: DataFrame, rows: DataFrame, key: str, vector: str, space: str, k: int = 10, block: int = BLOCK) -> DataFrame:
@@ -41,8 +60,8 @@ def exact_neighbours(queries: DataFrame, rows: DataFrame, key: str, vector: str,
     or not finite take no part; a zero vector has cosine 0.
     """
     ship(rows.sparkSession)
-    q = _blocks(queries, key, vector, space, block).select("_s", F.col("ids").alias("qi"), F.col("flat").alias("qf"))
-    r = _blocks(rows, key, vector, space, block).select("_s", F.col("ids").alias("ri"), F.col("flat").alias("rf"))
+    q, _ = _packed(queries.where(V.finite(F.col(vector))), F.col(space), key, vector, block)
+    r, n = _packed(rows.where(V.finite(F.col(vector))), F.col(space), key, vector, block)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def unit(flat, n):
@@ -54,16 +73,100 @@ def exact_neighbours(queries: DataFrame, rows: DataFrame, key: str, vector: str,
                 qi, ri = np.asarray(qi, object), np.asarray(ri, object)
                 s = np.round(unit(qf, len(qi)) @ unit(rf, len(ri)).T, 9)
                 s[qi[:, None] == ri[None]] = -9
-                # whatever equals the k-th score stays, so that ties are settled by id over all blocks
-                m = min(k, len(ri))
-                least = -np.partition(-s, m - 1, axis=1)[:, m - 1 : m]
-                a, c = np.nonzero((s >= least) & (s > -9))
+                a, c = _best(s, k, -9)
                 yield pd.DataFrame({"query": qi[a], "id": ri[c], "cosine": s[a, c]})
 
-    met = q.join(r, "_s").select("qi", "qf", "ri", "rf").mapInPandas(run, "query string, id string, cosine double")
+    met = _meet(q, r, n).mapInPandas(run, "query string, id string, cosine double")
     return top_rows(met, ["query"], [F.desc("cosine"), F.asc("id")], k)
 
 
+def _counted(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, weight) of rows of term numbers laid end to end: counts at length one, sorted by row and term."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    o = np.lexsort((flat, row))
+    row, term = row[o], flat[o]
+    first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (term[1:] != term[:-1]))) if len(row) else np.zeros(0, np.int64)
+    c = np.diff(np.append(first, len(row))).astype(np.float64)
+    row, term = row[first], term[first]
+    return row, term, c / np.sqrt(np.bincount(row, c * c, minlength=len(sizes)))[row]
+
+
+def sparse_products(q: tuple, r: tuple, nq: int, nr: int) -> np.ndarray:
+    """Products of sparse rows (row, term, weight): an inverted index of r is read for each term of q.
+
+    Terms whose postings are long on both sides are multiplied as dense columns, the others posting by posting.
+    """
+    (qr, qt, qw), (rr, rt, rw) = q, r
+    o = np.argsort(rt, kind="stable")
+    rr, rt, rw = rr[o], rt[o], rw[o]
+    terms, start = np.unique(rt, return_index=True)
+    size = np.diff(np.append(start, len(rt)))
+    at = np.minimum(np.searchsorted(terms, qt), len(terms) - 1)
+    held = terms[at] == qt
+    qr, qw, at = qr[held], qw[held], at[held]
+    often = size * np.bincount(at, minlength=len(terms)) > 64 * np.sqrt(nq * nr)
+    s = np.zeros((nq, nr))
+    dense = np.flatnonzero(often)
+    for k in range(0, len(dense), 256):
+        own = dense[k : k + 256]
+        place = np.full(len(terms), -1)
+        place[own] = np.arange(len(own))
+        a, b = np.zeros((nq, len(own))), np.zeros((len(own), nr))
+        m = place[at] >= 0
+        a[qr[m], place[at[m]]] = qw[m]
+        p = np.repeat(place, size)
+        m = p >= 0
+        b[p[m], rr[m]] = rw[m]
+        s += a @ b
+    rest = ~often[at]
+    qr, qw, at = qr[rest], qw[rest], at[rest]
+    ends = np.cumsum(size[at])
+    k = 0
+    while k < len(at):  # postings in pieces that fit in memory
+        last = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + 4_000_000, side="right")))
+        n = size[at[k:last]]
+        post = np.arange(n.sum()) + np.repeat(start[at[k:last]] - (np.cumsum(n) - n), n)
+        s += np.bincount(np.repeat(qr[k:last], n) * nr + rr[post], np.repeat(qw[k:last], n) * rw[post], minlength=nq * nr).reshape(nq, nr)
+        k = last
+    return s
+
+
+def sparse_neighbours(queries: DataFrame, rows: DataFrame, query: str, key: str, terms: str, k: int = 10, block: int = BLOCK, queries_block: int = 512) -> DataFrame:
+    """(query, key, score, shared, place): the k rows whose terms have the highest cosine with a query's, ties by key; never the query itself.
+
+    terms is an array with each term as often as it occurs (null or empty: no part).  Terms are
+    compared by 64-bit hashes.  Blocks of queries meet blocks of rows, and only k rows a query leave
+    a meeting, so neither a frequent term nor a popular query is gathered in one task.
+    """
+    ship(rows.sparkSession)
+    hashed = lambda df, c: df.where(F.size(terms) > 0).select(c, F.transform(terms, lambda t: F.xxhash64(t)).alias("_h"))
+    q, _ = _packed(hashed(queries, query), F.lit(0), query, "_h", queries_block)
+    r, n = _packed(hashed(rows, key), F.lit(0), key, "_h", block)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for qi, qn, qf, ri, rn, rf in zip(*(b[c] for c in ("qi", "qn", "qf", "ri", "rn", "rf"))):
+                qi, ri = np.asarray(qi, object), np.asarray(ri, object)
+                x, y = _counted(np.asarray(qf), np.asarray(qn)), _counted(np.asarray(rf), np.asarray(rn))
+                s = np.round(sparse_products(x, y, len(qi), len(ri)), 9)
+                s[qi[:, None] == ri[None]] = 0
+                a, c = _best(s, k, 0)
+                # terms that the chosen pairs share: each query's terms are looked up in the row's
+                known, first = np.unique(np.concatenate([x[1], y[1]]), return_inverse=True)
+                xt, yt = first[: len(x[1])], first[len(x[1]) :]
+                begin = np.searchsorted(x[0], np.arange(len(qi) + 1))
+                m = np.diff(begin)[a]
+                of = np.repeat(np.arange(len(a)), m)
+                term = xt[np.arange(m.sum()) + np.repeat(begin[a] - (np.cumsum(m) - m), m)]
+                post = y[0] * len(known) + yt
+                want = c[of] * len(known) + term
+                there = post[np.minimum(np.searchsorted(post, want), len(post) - 1)] == want
+                yield pd.DataFrame({query: qi[a], key: ri[c], "score": s[a, c], "shared": np.bincount(of[there], minlength=len(a))})
+
+    met = _meet(q, r, n).mapInPandas(run, f"`{query}` string, `{key}` string, score double, shared long")
+    return top_rows(met, [query], [F.desc("score"), F.asc(key)], k)
+
+
 def term_weights(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, weight): the share of each term among a text's terms: the sparse vector as postings."""
     t = df.select(F.col(key), F.explode(V.terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))

@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions import vectors as V
 from ..operators import audit, graph, retrieve
 from ..sources.tables import table
 from .registry import query
-from .retrieval import _TERMS, _VECS, chunk_terms, usable_vectors
+from .retrieval import _TERMS, _VECS, chunk_term_lists, chunk_terms, usable_vectors
 from .texts import messages
 
 _CH = "(SELECT DISTINCT id, block_id, ordinal, source_char_start, source_char_end, token_count, text FROM retrieval_chunks)"
@@ -138,34 +137,6 @@ def temporal_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.temporal_edges(p, "conversation_id", "block_id", ["message_ordinal", "block_ordinal", "block_id"])
 
 
-def _located(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of the larger space with conversation and vector."""
-    c = chunks(spark, d).select(F.col("id").alias("chunk_id"), "block_id").distinct()
-    v = usable_vectors(spark, d).where("space like 'meridian-embed-m%'").select("chunk_id", "vector")
-    return c.join(_placed(spark, d).select("block_id", "conversation_id").distinct(), "block_id").join(v, "chunk_id").where("conversation_id is not null")
-
-
-_LOC = f"l AS (SELECT c.id AS chunk_id, p.conversation_id, v.x FROM (SELECT DISTINCT id, block_id FROM retrieval_chunks) c JOIN (SELECT DISTINCT block_id, conversation_id FROM {_PLACED}) p ON p.block_id = c.block_id JOIN v ON v.chunk_id = c.id AND v.space LIKE 'meridian-embed-m%' WHERE p.conversation_id IS NOT NULL)"
-
-
-@query(f"""SELECT * FROM (WITH {_VECS}, {_TERMS}, {_LOC}, g AS (SELECT *, count(*) OVER (PARTITION BY conversation_id) AS k FROM l), c2 AS (SELECT chunk_id, sqrt(sum(weight * weight)) AS n FROM w GROUP BY 1),
-p AS (SELECT a.conversation_id, a.chunk_id AS a, b.chunk_id AS b, list_cosine_similarity(a.x, b.x) AS dense FROM g a JOIN g b ON a.conversation_id = b.conversation_id AND a.chunk_id < b.chunk_id WHERE a.k BETWEEN 2 AND 1000),
-s AS (SELECT p.a, p.b, sum(x.weight * y.weight) / (any_value(m.n) * any_value(o.n)) AS sparse FROM p JOIN w x ON x.chunk_id = p.a JOIN w y ON y.chunk_id = p.b AND y.term = x.term JOIN c2 m ON m.chunk_id = p.a JOIN c2 o ON o.chunk_id = p.b GROUP BY 1, 2),
-h AS (SELECT p.*, s.sparse, round(CASE WHEN s.sparse IS NULL THEN dense ELSE 0.65 * dense + 0.35 * s.sparse END, 9) AS hybrid FROM p LEFT JOIN s ON s.a = p.a AND s.b = p.b),
-tt AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY hybrid DESC, a, b) <= 10)
-SELECT conversation_id, a AS src, b AS dst, unnest(['dense_sim', 'sparse_overlap', 'hybrid_sim']) AS edge_kind, round(unnest([dense, sparse, hybrid]), 6) AS score FROM tt) WHERE score IS NOT NULL""")
-def similarity_edges(spark: SparkSession, d: str) -> DataFrame:
-    e = graph.similarity_edges(_located(spark, d), "conversation_id", "chunk_id", "vector", chunk_terms(spark, d), 10)
-    return e.select("conversation_id", "src", "dst", "edge_kind", F.round("score", 6).alias("score"))
-
-
-@query(f"""WITH {_VECS}, {_LOC}, e AS (SELECT conversation_id, i, avg(x[i]) AS m FROM l, range(1, 65) r(i) GROUP BY 1, 2), n AS (SELECT conversation_id, sqrt(sum(m * m)) AS l2 FROM e GROUP BY 1)
-SELECT conversation_id, i - 1 AS position, round(m / l2, 6) AS value FROM e JOIN n USING (conversation_id)""")
-def mean_pool_centroid(spark: SparkSession, d: str) -> DataFrame:
-    m = graph.mean_vectors(_located(spark, d), ["conversation_id"], "vector")
-    return m.select("conversation_id", F.posexplode("mean").alias("position", "value")).select("conversation_id", F.col("position").cast("long").alias("position"), F.round("value", 6).alias("value"))
-
-
 def _members(spark: SparkSession, d: str) -> DataFrame:
     """(group_type, group_id, chunk_id): every chunk in its conversation and in its project, with or without a vector."""
     c = chunks(spark, d).select(F.col("id").alias("chunk_id"), "block_id").distinct()
@@ -186,18 +157,16 @@ sp AS (SELECT a.group_type, a.group_id, a.chunk_id AS a, b.chunk_id AS b, sum(a.
 h AS (SELECT group_type, group_id, a, b, coalesce(dense, 0) AS dense, coalesce(sparse, 0) AS sparse, round(0.65 * coalesce(dense, 0) + 0.35 * coalesce(sparse, 0), 9) AS hybrid FROM dn FULL JOIN sp USING (group_type, group_id, a, b)),
 tt AS (SELECT * FROM h WHERE hybrid > 0 QUALIFY row_number() OVER (PARTITION BY group_type, group_id ORDER BY hybrid DESC, a, b) <= 10)
 SELECT group_type, group_id, a AS src, b AS dst, unnest(['dense_sim', 'sparse_overlap', 'hybrid_sim']) AS edge_kind, round(unnest([dense, sparse, hybrid]), 6) AS score, round(unnest([dense, sparse, hybrid]), 9) > 0 AS kept FROM tt) WHERE kept""")
-def similarity_edges_whole(spark: SparkSession, d: str) -> DataFrame:
+def similarity_edges(spark: SparkSession, d: str) -> DataFrame:
     """Similarity edges of conversations and of projects, over all chunks with a vector of any space or with terms."""
-    texts = table(spark, d, "retrieval_chunks").groupBy(F.col("id").alias("chunk_id")).agg(F.collect_set("text").alias("texts"))
-    terms = texts.select("chunk_id", F.flatten(F.transform("texts", V.terms)).alias("terms"))
-    e = graph.member_edges(_members(spark, d), usable_vectors(spark, d), terms, ["group_type", "group_id"], "chunk_id", 10)
+    e = graph.member_edges(_members(spark, d), usable_vectors(spark, d), chunk_term_lists(spark, d), ["group_type", "group_id"], "chunk_id", 10)
     return e.select("group_type", "group_id", "src", "dst", "edge_kind", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {_VECS}, {_MEMBERS}, l AS (SELECT v.space, mb.group_type, mb.group_id, v.x FROM mb JOIN v USING (chunk_id)), s AS (SELECT space, group_type, group_id, any_value(len(x)) AS k FROM l GROUP BY ALL HAVING min(len(x)) = max(len(x))),
 e AS (SELECT space, group_type, group_id, i, avg(x[i]) AS m FROM (SELECT l.*, unnest(range(1, k + 1)) AS i FROM l JOIN s USING (space, group_type, group_id)) GROUP BY ALL), n AS (SELECT space, group_type, group_id, sqrt(sum(m * m)) AS l2 FROM e GROUP BY ALL)
 SELECT space, group_type, group_id, i - 1 AS position, round(CASE WHEN l2 > 0 THEN m / l2 ELSE m END, 6) AS value FROM e JOIN n USING (space, group_type, group_id)""")
-def mean_pool_centroid_whole(spark: SparkSession, d: str) -> DataFrame:
+def mean_pool_centroid(spark: SparkSession, d: str) -> DataFrame:
     """Mean vectors of conversations and of projects, one for each space that has vectors of their chunks."""
     m = graph.mean_vectors(_members(spark, d).join(usable_vectors(spark, d).select("chunk_id", "space", "vector"), "chunk_id"), ["space", "group_type", "group_id"], "vector")
     return m.select("space", "group_type", "group_id", F.posexplode("mean").alias("position", "value")).select("space", "group_type", "group_id", F.col("position").cast("long").alias("position"), F.round("value", 6).alias("value"))
@@ -261,13 +230,12 @@ def best_per_message_diverse(spark: SparkSession, d: str) -> DataFrame:
     return diverse_messages(_hits(spark, d), "probe_id").select("probe_id", "message_id", "conversation_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH RECURSIVE {_HITS}, o AS (SELECT k.probe_id, k.chunk_id, c.token_count AS t, row_number() OVER (PARTITION BY k.probe_id ORDER BY score DESC, k.chunk_id) AS rn FROM k JOIN (SELECT id, max(token_count) AS token_count FROM retrieval_chunks GROUP BY 1) c ON c.id = k.chunk_id QUALIFY rn <= 50),
+@query(f"""WITH RECURSIVE {_HITS}, o AS (SELECT k.probe_id, k.chunk_id, c.token_count AS t, row_number() OVER (PARTITION BY k.probe_id ORDER BY score DESC, k.chunk_id) AS rn FROM k JOIN (SELECT id, max(token_count) AS token_count FROM retrieval_chunks GROUP BY 1) c ON c.id = k.chunk_id),
 f AS (SELECT probe_id, chunk_id, rn, t AS used, true AS taken FROM o WHERE rn = 1 UNION ALL SELECT o.probe_id, o.chunk_id, o.rn, CASE WHEN f.used < 400 AND f.used + o.t <= 400 THEN f.used + o.t ELSE f.used END, f.used < 400 AND f.used + o.t <= 400 FROM f JOIN o ON o.probe_id = f.probe_id AND o.rn = f.rn + 1)
 SELECT probe_id, chunk_id FROM f WHERE taken""")
 def token_budget_select(spark: SparkSession, d: str) -> DataFrame:
     c = chunks(spark, d).groupBy(F.col("id").alias("chunk_id")).agg(F.max("token_count").alias("tokens"))
-    top = retrieve.top_rows(_hits(spark, d).join(c, "chunk_id"), ["probe_id"], [F.desc("score"), F.asc("chunk_id")], 50)
-    return graph.within_budget(top, "probe_id", "chunk_id", "score", "tokens", 400)
+    return graph.within_budget(_hits(spark, d).join(c, "chunk_id"), "probe_id", "chunk_id", "score", "tokens", 400)
 
 
 @query("""SELECT template, 'Project_' || lpad(CAST(row_number() OVER (ORDER BY template) AS VARCHAR), 2, '0') AS label FROM (SELECT DISTINCT conversation_template_id AS template FROM conversations WHERE coalesce(conversation_template_id, '') <> '')""")

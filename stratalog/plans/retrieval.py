@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import evaluate, retrieve
+from ..session import settle
 from ..sources.tables import table
 from .registry import query
 
@@ -41,32 +42,30 @@ def term_frequency_terms(spark: SparkSession, d: str) -> DataFrame:
     return chunk_terms(spark, d).select("chunk_id", "term", F.round("weight", 6).alias("weight"))
 
 
-def probe_terms(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve.term_weights(table(spark, d, "real_probes").select("probe_id", "query").distinct(), "probe_id", "query")
-
-
 _SPARSE = f"""{_TERMS}, qt AS (SELECT probe_id, unnest(regexp_extract_all(lower(query), '[a-z0-9а-яё_]{{2,}}')) AS term FROM real_probes), qn AS (SELECT probe_id, count(*) AS total FROM qt GROUP BY 1),
 qw AS (SELECT qt.probe_id, term, count(*) / CAST(any_value(total) AS DOUBLE) AS weight FROM qt JOIN qn USING (probe_id) GROUP BY 1, 2),
 q2 AS (SELECT probe_id, sqrt(sum(weight * weight)) AS l FROM qw GROUP BY 1), c2 AS (SELECT chunk_id, sqrt(sum(weight * weight)) AS l FROM w GROUP BY 1),
 s AS (SELECT probe_id, chunk_id, round(sum(qw.weight * w.weight) / (any_value(q2.l) * any_value(c2.l)), 9) AS score, count(*) AS shared FROM qw JOIN w USING (term) JOIN q2 USING (probe_id) JOIN c2 USING (chunk_id) GROUP BY 1, 2)"""
 
 
-def sparse_hits(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve.sparse_scores(probe_terms(spark, d), chunk_terms(spark, d), "probe_id", "chunk_id").withColumn("score", F.round("score", 9))
+def chunk_term_lists(spark: SparkSession, d: str) -> DataFrame:
+    """(chunk_id, terms): each chunk once, its terms as often as they occur."""
+    texts = table(spark, d, "retrieval_chunks").groupBy(F.col("id").alias("chunk_id")).agg(F.collect_set("text").alias("texts"))
+    return texts.select("chunk_id", F.flatten(F.transform("texts", V.terms)).alias("terms"))
 
 
 @query(f"WITH {_SPARSE} SELECT probe_id, chunk_id, round(score, 6) AS score, shared, row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, chunk_id) AS place FROM s QUALIFY place <= 10")
 def sparse_topk(spark: SparkSession, d: str) -> DataFrame:
-    top = retrieve.top_rows(sparse_hits(spark, d), ["probe_id"], [F.desc("score"), F.asc("chunk_id")], 10)
+    asked = table(spark, d, "real_probes").select("probe_id", V.terms(F.col("query")).alias("terms"))
+    top = retrieve.sparse_neighbours(asked, chunk_term_lists(spark, d), "probe_id", "chunk_id", "terms", 10)
     return top.select("probe_id", "chunk_id", F.round("score", 6).alias("score"), "shared", F.col("place").cast("long").alias("place"))
 
 
-def _hybrid_sql(pool: int) -> str:
-    return f"""WITH {_VECS}, {_TERMS}, c2 AS (SELECT chunk_id, sqrt(sum(weight * weight)) AS l FROM w GROUP BY 1),
+_HYBRID = f"""WITH {_VECS}, {_TERMS}, c2 AS (SELECT chunk_id, sqrt(sum(weight * weight)) AS l FROM w GROUP BY 1),
 q AS (SELECT chunk_id AS query, space, x FROM v WHERE rid % 100 = 0),
 dn AS (SELECT query, r.chunk_id, round(list_cosine_similarity(q.x, r.x), 9) AS s FROM q JOIN v r ON q.space = r.space AND q.query <> r.chunk_id),
 sp AS (SELECT q.query, w.chunk_id, round(sum(a.weight * w.weight) / (any_value(x.l) * any_value(y.l)), 9) AS s FROM (SELECT DISTINCT query FROM q) q JOIN w a ON a.chunk_id = q.query JOIN w ON w.term = a.term AND w.chunk_id <> q.query JOIN c2 x ON x.chunk_id = q.query JOIN c2 y ON y.chunk_id = w.chunk_id GROUP BY 1, 2),
-dp AS (SELECT * FROM dn QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, chunk_id) <= {pool}), pp AS (SELECT * FROM sp WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, chunk_id) <= {pool}),
+dp AS (SELECT * FROM dn QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, chunk_id) <= {retrieve.POOL}), pp AS (SELECT * FROM sp WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, chunk_id) <= {retrieve.POOL}),
 u AS (SELECT coalesce(dp.query, pp.query) AS query, coalesce(dp.chunk_id, pp.chunk_id) AS chunk_id, coalesce(pp.s, 0) AS sparse FROM dp FULL JOIN pp ON dp.query = pp.query AND dp.chunk_id = pp.chunk_id),
 f AS (SELECT u.*, coalesce(dn.s, 0) AS dense, 0.65 * coalesce(dn.s, 0) + 0.35 * sparse AS fused FROM u LEFT JOIN dn ON dn.query = u.query AND dn.chunk_id = u.chunk_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(fused, 9) DESC, chunk_id) AS place FROM f QUALIFY place <= 10)"""
@@ -77,17 +76,18 @@ JOIN (SELECT DISTINCT id, block_id FROM retrieval_chunks) r ON r.id = k.chunk_id
 JOIN (SELECT DISTINCT id, conversation_id FROM messages) m ON m.id = b.message_id JOIN (SELECT DISTINCT id, title FROM conversations) c ON c.id = m.conversation_id"""
 
 
-def _hybrid_search(spark: SparkSession, d: str, pool: int) -> DataFrame:
-    v, terms = usable_vectors(spark, d), chunk_terms(spark, d)
+@query(f"{_HYBRID} {_PROV}")
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    """Hybrid search of every chunk whose rowid is divisible by 100 over all chunks, with the archive's candidate pools and provenance."""
+    v, terms, pool = usable_vectors(spark, d), chunk_term_lists(spark, d), retrieve.POOL
     q = v.where("rowid % 100 = 0")
     dense = retrieve.exact_neighbours(q, v, "chunk_id", "vector", "space", pool).select("query", F.col("id").alias("chunk_id"), F.col("cosine").alias("score"))
     asked = terms.join(q.select("chunk_id").distinct(), "chunk_id", "left_semi").withColumnRenamed("chunk_id", "query")
-    sparse = retrieve.sparse_scores(asked, terms, "query", "chunk_id").where("query <> chunk_id").withColumn("score", F.round("score", 9))
-    sparse = retrieve.top_rows(sparse.where("score > 0"), ["query"], [F.desc("score"), F.asc("chunk_id")], pool)
-    both = retrieve.candidate_union(dense.select("query", "chunk_id"), sparse.select("query", "chunk_id", F.col("score").alias("sparse")), ["query", "chunk_id"])
+    sparse = retrieve.sparse_neighbours(asked, terms, "query", "chunk_id", "terms", pool)
+    both = settle(retrieve.candidate_union(dense.select("query", "chunk_id"), sparse.select("query", "chunk_id", F.col("score").alias("sparse")), ["query", "chunk_id"]))
     # every candidate is scored exactly by both branches' rule; those found by one alone are scored here
     qv, rv = q.select(F.col("chunk_id").alias("query"), "space", F.col("vector").alias("qv")), v.select("chunk_id", "space", F.col("vector").alias("rv"))
-    exact = both.join(qv, "query").join(rv, ["chunk_id", "space"]).groupBy("query", "chunk_id").agg(F.max(F.round(V.cosine(F.col("qv"), F.col("rv")), 9)).alias("dense"))
+    exact = both.select("query", "chunk_id").join(qv, "query").join(rv, ["chunk_id", "space"]).groupBy("query", "chunk_id").agg(F.max(F.round(V.cosine(F.col("qv"), F.col("rv")), 9)).alias("dense"))
     fused = both.join(exact, ["query", "chunk_id"], "left").na.fill(0.0, ["dense", "sparse"]).withColumn("fused", V.weighted(F.col("dense"), F.col("sparse")))
     hits = retrieve.top_rows(fused, ["query"], [F.desc(F.round("fused", 9)), F.asc("chunk_id")], 10)
     full = retrieve.with_provenance(hits, table(spark, d, "retrieval_chunks"), table(spark, d, "blocks"), table(spark, d, "messages"), table(spark, d, "conversations"))
@@ -95,18 +95,6 @@ def _hybrid_search(spark: SparkSession, d: str, pool: int) -> DataFrame:
     return full.select("query", "chunk_id", r("dense"), r("sparse"), r("fused"), F.col("place").cast("long").alias("place"), "message_id", "conversation_id", "title")
 
 
-@query(f"{_hybrid_sql(50)} {_PROV}")
-def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    """hybrid_search_whole with 50 candidates of each branch, fewer than the archive takes; kept as its SQL states it."""
-    return _hybrid_search(spark, d, 50)
-
-
-@query(f"{_hybrid_sql(retrieve.POOL)} {_PROV}")
-def hybrid_search_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Hybrid search of every chunk whose rowid is divisible by 100 over all chunks, with the archive's candidate pools and provenance."""
-    return _hybrid_search(spark, d, retrieve.POOL)
-
-
 # --------------------------------------------------------------------------- fusion over the raw-score snapshot
 
 
@@ -125,7 +113,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY d DESC, chunk_
 def _variant_sql() -> str:
     out = []
     for name, kind, a, b, pool in retrieve.variants():
-        ind, ins = (f"dr <= {pool}", f"pr <= {pool}") if pool else ("true", "true")
+        ind, ins = (f"dr <= {retrieve.POOL}", f"pr <= {retrieve.POOL}") if pool else ("true", "true")
         if kind == "raw":
             e, w = f"d * {a} + p * {b}", "true"
         elif kind == "rrf":

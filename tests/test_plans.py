@@ -40,9 +40,9 @@ def test_hybrid_search_fuses_what_stands_below_rank_50_of_both_branches(spark, t
     chunks += [(f"d{k:02d}", f"other{k} words{k}") for k in range(60)] + [(f"s{k:02d}", f"alpha beta gamma delta extra{k}") for k in range(60)]
     vectors = [(100, "query", "s", at(1.0)), (1, "target", "s", at(0.8))] + [(2 + k, f"d{k:02d}", "s", at(0.81)) for k in range(60)]
     path = _folder(spark, tmp_path, chunks, vectors)
-    got = catalogue.queries()["hybrid_search_whole"](spark, path).collect()
+    got = catalogue.queries()["hybrid_search"](spark, path).collect()
     assert [r["chunk_id"] for r in got if r["place"] == 1] == ["target"]
-    assert sorted(tuple(r) for r in got) == _sql(path, "hybrid_search_whole")
+    assert sorted(tuple(r) for r in got) == _sql(path, "hybrid_search")
 
 
 def test_edges_and_means_keep_chunks_without_a_vector_of_the_larger_space(spark, tmp_path):
@@ -50,13 +50,13 @@ def test_edges_and_means_keep_chunks_without_a_vector_of_the_larger_space(spark,
     chunks = [("bare1", "alpha beta gamma"), ("bare2", "alpha beta delta"), ("m1", "red one"), ("m2", "red two"), ("s1", "green"), ("s2", "green too"), ("...", "."), ("far", "alpha beta gamma")]
     vectors = [(1, "m1", "meridian-embed-m", at(0.8)), (2, "m2", "meridian-embed-m", at(0.9)), (3, "s1", "meridian-embed-s", [1.0, 0.0, 0.0]), (4, "s2", "meridian-embed-s", [0.6, 0.8, 0.0])]
     path = _folder(spark, tmp_path, chunks, vectors, lambda c: "other" if c == "far" else "v")
-    got = catalogue.queries()["similarity_edges_whole"](spark, path).collect()
+    got = catalogue.queries()["similarity_edges"](spark, path).collect()
     kinds = {}
     for r in got:
         kinds.setdefault((r["group_type"], r["src"], r["dst"]), set()).add(r["edge_kind"])
     assert kinds["conversation", "bare1", "bare2"] == {"sparse_overlap", "hybrid_sim"} and kinds["project", "bare1", "far"] == {"sparse_overlap", "hybrid_sim"}
     assert kinds["conversation", "m1", "m2"] == kinds["conversation", "s1", "s2"] == {"dense_sim", "sparse_overlap", "hybrid_sim"}
-    assert not any("..." in (r["src"], r["dst"]) for r in got) and sorted(tuple(r) for r in got) == _sql(path, "similarity_edges_whole")
-    means = catalogue.queries()["mean_pool_centroid_whole"](spark, path).collect()
+    assert not any("..." in (r["src"], r["dst"]) for r in got) and sorted(tuple(r) for r in got) == _sql(path, "similarity_edges")
+    means = catalogue.queries()["mean_pool_centroid"](spark, path).collect()
     assert {(r["space"], r["group_type"]) for r in means} == {(f"meridian-embed-{s}", g) for s in "ms" for g in ("conversation", "project")}
-    assert sorted(tuple(r) for r in means) == _sql(path, "mean_pool_centroid_whole")
+    assert sorted(tuple(r) for r in means) == _sql(path, "mean_pool_centroid")

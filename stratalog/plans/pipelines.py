@@ -104,11 +104,27 @@ def rerank_score(spark: SparkSession, d: str) -> DataFrame:
     return assemble.rerank(_asked(spark, d)).select("probe_id", "chunk_id", F.round("rerank", 6).alias("rerank"))
 
 
+def _searched(spark: SparkSession, d: str) -> DataFrame:
+    """Focused results of every probe, with the messages beside each excerpt."""
+    b = table(spark, d, "blocks").select(F.col("id").alias("block_id"), "message_id").distinct()
+    m = messages(spark, d)
+    at = b.join(m.select(F.col("id").alias("message_id"), F.col("ordinal").alias("message_ordinal")), "message_id").dropDuplicates(["block_id"]).select("block_id", "message_ordinal")
+    hits = assemble.rerank(_asked(spark, d)).join(at, "block_id", "left")
+    return assemble.focused(assemble.with_context(hits, m, 1), "probe_id")
+
+
 @query()
 def search_archive(spark: SparkSession, d: str) -> DataFrame:
-    """Focused search of every probe: rerank, evidence groups, diversification, excerpts within the budget."""
-    out = assemble.focused(assemble.rerank(_asked(spark, d)), "probe_id")
-    return out.select("probe_id", "place", "chunk_id", "message_id", "conversation_id", "chunks", "excerpt", F.round("rerank", 6).alias("rerank"))
+    """Focused search of every probe: rerank, evidence groups, diversification, excerpts and neighbouring messages within the budget."""
+    out = _searched(spark, d)
+    near = F.array_join(F.transform("context", lambda c: c["message_id"]), " ")
+    return out.select("probe_id", "place", "chunk_id", "message_id", "conversation_id", "chunks", "excerpt", near.alias("context"), F.round("rerank", 6).alias("rerank"))
+
+
+@query()
+def search_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """What each focused result covers, and its warnings."""
+    return assemble.coverage(_searched(spark, d), "probe_id")
 
 
 @query()

@@ -15,8 +15,9 @@ from ..functions.ids import stable_id
 from ..functions.vectors import TERM
 from ..session import ship
 
+# What is kept free of a limit, the boundaries from best to least, and how far back one is looked for.
 RESERVE = 4
-SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ")  # from the best boundary to the least
+SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ")
 REACH = 256
 
 
@@ -54,7 +55,7 @@ def cut(text: str, p: Policy) -> list[tuple[int, int, int, str, int]]:
     """
     tok = [m.span() for m in re.finditer(TERM, text)]
     starts, ends = [a for a, _ in tok], [b for _, b in tok]
-    count = lambda a, b: max(0, bisect_right(ends, b) - bisect_right([*starts], a - 1)) if b > a else 0
+    count = lambda a, b: max(0, bisect_right(ends, b) - bisect_right(starts, a - 1)) if b > a else 0
     out: list[tuple[int, int, int, str, int]] = []
     at = 0
     while at < len(text):

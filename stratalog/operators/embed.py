@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..session import ship
+from ..session import settle, ship
 
 
 class Provider(Protocol):
@@ -65,12 +65,15 @@ def vector_state(vector: Column, dim: Column) -> Column:
 def vocabulary(postings: DataFrame) -> DataFrame:
     """(term, token_index): terms numbered from 0 in order.
 
-    Terms are sorted over all tasks; each task's offset comes from the counts of the tasks before it.
+    Terms are sorted over all tasks; each task's offset comes from the counts of the tasks before it,
+    a list of one row a task.
     """
-    terms = postings.select("term").distinct()
-    spark = terms.sparkSession
-    rdd = terms.orderBy("term").rdd.zipWithIndex().map(lambda r: (r[0][0], r[1]))
-    return spark.createDataFrame(rdd, "term string, token_index long")
+    terms = postings.select("term").where("term is not null").distinct()
+    rows = settle(terms.repartitionByRange("term").sortWithinPartitions("term").withColumn("_at", F.monotonically_increasing_id()))
+    task, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    counts = rows.groupBy(task.alias("_t")).agg(F.count("*").alias("_n"))
+    before = counts.select("_t", (F.sum("_n").over(Window.orderBy("_t")) - F.col("_n")).alias("_before"))
+    return rows.join(F.broadcast(before), task == F.col("_t")).select("term", (F.col("_before") + within).alias("token_index"))
 
 
 def space_id(model: str, dim: int, pool: str, norm: str, policy: str) -> str:

@@ -60,14 +60,15 @@ def publish(spark: SparkSession, root: str, generation: str, tables: dict[str, D
     if check and (bad := orphans_of(written)):
         raise ValueError(f"generation {generation} isn't whole: {bad}")
     sc = spark.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path
-    fs = path(root).getFileSystem(sc._jsc.hadoopConfiguration())
-    stage, final = path(f"{root}/CURRENT.{generation}"), path(f"{root}/CURRENT")
-    out = fs.create(stage, True)
+    hadoop = sc._jvm.org.apache.hadoop.fs
+    stage, final = hadoop.Path(f"{root}/CURRENT.{generation}"), hadoop.Path(f"{root}/CURRENT")
+    out = stage.getFileSystem(sc._jsc.hadoopConfiguration()).create(stage, True)
     out.write(bytearray(generation.encode()))
     out.close()
-    fs.delete(final, False)
-    fs.rename(stage, final)
+    # one rename that replaces the old file: there is never none
+    options = sc._gateway.new_array(hadoop.Options.Rename, 1)
+    options[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(final.toUri(), sc._jsc.hadoopConfiguration()).rename(stage, final, options)
     return at
 
 

@@ -70,10 +70,10 @@ def xor_pairs(spark: SparkSession, d: str) -> DataFrame:
     return audit.one_sided(dense, sparse, "chunk_id")
 
 
-@query(f"WITH {_VECS} SELECT count(*) AS pending, CAST(sum(token_count) AS BIGINT) AS tokens FROM (SELECT id, max(token_count) AS token_count FROM retrieval_chunks GROUP BY 1) WHERE id NOT IN (SELECT chunk_id FROM v)")
+@query(f"WITH {_VECS}, {_TERMS} SELECT count(*) AS pending, CAST(sum(token_count) AS BIGINT) AS tokens FROM (SELECT id, max(token_count) AS token_count FROM retrieval_chunks GROUP BY 1) WHERE id NOT IN (SELECT chunk_id FROM v WHERE chunk_id IS NOT NULL INTERSECT SELECT chunk_id FROM w)")
 def pending_embeddings(spark: SparkSession, d: str) -> DataFrame:
     c = chunks(spark, d).groupBy("id").agg(F.max("token_count").alias("token_count")).withColumnRenamed("id", "chunk_id")
-    p = audit.pending(c, usable_vectors(spark, d), c, "chunk_id")
+    p = audit.pending(c, usable_vectors(spark, d), chunk_term_lists(spark, d).where(F.size("terms") > 0), "chunk_id")
     return p.agg(F.count("*").alias("pending"), F.sum("token_count").cast("long").alias("tokens"))
 
 

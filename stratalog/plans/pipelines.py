@@ -127,9 +127,11 @@ def search_coverage(spark: SparkSession, d: str) -> DataFrame:
     return assemble.coverage(_searched(spark, d), "probe_id")
 
 
-@query()
+@query(r"""WITH t AS (SELECT doc_id, regexp_replace(text, '\r\n?', chr(10), 'g') AS t FROM documents WHERE text IS NOT NULL AND coalesce(source, '') <> 'chat_md'),
+p AS (SELECT doc_id, string_split_regex(t, '\n{2,}') AS a FROM t), u AS (SELECT doc_id, unnest(a) AS block_text, generate_subscripts(a, 1) - 1 AS ordinal FROM p)
+SELECT doc_id, CAST(ordinal AS BIGINT) AS ordinal, block_text FROM u WHERE regexp_matches(block_text, '[^ \t\n\x{0B}\f\r]')""")
 def attachment_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that aren't chats, as ordered paragraphs."""
-    t = table(spark, d, "documents").where("text is not null and source <> 'chat_md'")
+    """Documents that aren't chats, as ordered paragraphs; one without a source is no chat."""
+    t = table(spark, d, "documents").where("text is not null and coalesce(source, '') <> 'chat_md'")
     p = t.select("doc_id", F.posexplode(F.split(F.regexp_replace("text", r"\r\n?", "\n"), r"\n{2,}")).alias("ordinal", "block_text")).where(F.col("block_text").rlike(r"\S"))
     return p.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), "block_text")

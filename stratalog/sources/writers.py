@@ -9,18 +9,29 @@ from ..operators.embed import vector_state
 
 
 def markdown_tree(df: DataFrame, root: str, folder: str, name: str, text: str) -> None:
-    """One Markdown file a row in its folder, written by the tasks; names are unique in a folder."""
-
-    def write(rows) -> None:
-        import os
-
-        for r in rows:
-            at = os.path.join(root, r[folder])
-            os.makedirs(at, exist_ok=True)
-            with open(os.path.join(at, r[name]), "w", encoding="utf-8") as f:
-                f.write(r[text] or "")
-
-    df.select(folder, name, text).foreachPartition(write)
+    """One Markdown file a row in its folder below root, on any file system; names are unique in a folder.
+
+    The tasks stage the files below root/_staged; files that are there are then moved to their folders.
+    """
+    spark = df.sparkSession
+    staged = f"{root}/_staged"
+    rows = df.select(F.col(folder).cast("string").alias("folder"), F.col(name).cast("string").alias("name"), F.coalesce(F.col(text), F.lit("")).alias("value"))
+    # a partition value for each file: Spark's own committer makes the write safe when a task runs twice
+    rows.write.mode("overwrite").partitionBy("folder", "name").option("lineSep", "\n").text(staged)
+    sc = spark.sparkContext
+    hadoop = sc._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(root).getFileSystem(sc._jsc.hadoopConfiguration())
+    files = fs.listFiles(hadoop(staged), True)
+    unescape = sc._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    while files.hasNext():
+        f = files.next().getPath()
+        if f.getName().startswith("part-"):
+            inner, outer = f.getParent().getName(), f.getParent().getParent().getName()
+            to = hadoop(f"{root}/{unescape(outer.split('=', 1)[1])}/{unescape(inner.split('=', 1)[1])}")
+            fs.mkdirs(to.getParent())
+            fs.delete(to, False)
+            fs.rename(f, to)
+    fs.delete(hadoop(staged), True)
 
 
 def json_lines(df: DataFrame, path: str) -> None:
@@ -33,8 +44,12 @@ def replace_subset(df: DataFrame, path: str, partition: str) -> None:
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """The old rows whose keys aren't among the new ones, and the new rows, the last of each key by row hash."""
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new.dropDuplicates(keys))
+    """The old rows whose keys aren't among the new ones, and the new rows; of several of one key the one of the largest hash, in whatever order they come."""
+    rest = [c for c in new.columns if c not in keys]
+    row = F.struct(*rest) if rest else F.struct(*keys)
+    one = new.groupBy(*keys).agg(F.max_by(row, F.struct(F.xxhash64(F.to_json(row)), F.to_json(row))).alias("_r"))
+    once = one.select(*[F.col(c) if c in keys else F.col(f"_r.`{c}`").alias(c) for c in new.columns])
+    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(once)
 
 
 def checked_vectors(df: DataFrame, vector: str, dim: str) -> tuple[DataFrame, DataFrame]:

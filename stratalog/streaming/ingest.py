@@ -25,12 +25,12 @@ def ingest(spark: SparkSession, landing: str, store: str, progress: str, schema:
     def append(batch: DataFrame, n: int) -> None:
         new = batch.dropDuplicates(["id", "revision"])
         own = batch.sparkSession
-        try:
-            old = own.read.parquet(store).where(F.col("batch") != n).select("id", "revision")
-            new = new.join(old, ["id", "revision"], "left_anti")
-        except Exception as e:  # nothing has been stored yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
+        path = own.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
+        if path.getFileSystem(own.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            # only the two columns of the stored rows are read, and only of the ids that came
+            ids = new.select("id").distinct()
+            old = own.read.schema(f"{new.select('id', 'revision').schema.simpleString()[7:-1].replace(':', ' ')}, batch long").parquet(store).where(F.col("batch") != n).select("id", "revision")
+            new = new.join(old.join(ids, "id", "left_semi"), ["id", "revision"], "left_anti")
         new.write.mode("overwrite").parquet(f"{store}/batch={n}")
 
     return src.writeStream.foreachBatch(append).option("checkpointLocation", progress).trigger(availableNow=True).start()

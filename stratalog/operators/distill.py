@@ -49,6 +49,17 @@ def interest_tier(kind: Column) -> Column:
     return F.when(kind == "common_trash", "low").otherwise("normal")
 
 
+def interesting(rows: DataFrame, tier: str, low: bool = False) -> DataFrame:
+    """rows without content of low interest or in quarantine, unless low asks for it; a row without a tier stays."""
+    return rows if low else rows.where(~F.coalesce(F.col(tier), F.lit("normal")).isin("low", "quarantine"))
+
+
+def extension_counts(files: DataFrame, name: str) -> DataFrame:
+    """(extension, files): how many file names have each extension, most first; a name without one counts as [no-ext]."""
+    ext = F.when(F.col(name).rlike(r"[^.]\.[^.]+$"), F.lower(F.regexp_extract(name, r"\.[^.]+$", 0))).otherwise("[no-ext]")
+    return files.where(F.col(name).isNotNull()).groupBy(ext.alias("extension")).agg(F.count("*").alias("files")).orderBy(F.desc("files"), "extension")
+
+
 def unique_names(df: DataFrame, group: str, base: str, order: str, ending: str = ".md") -> DataFrame:
     """df with file_name: the base name, from its second use in a group on with _2, _3 and so on."""
     n = F.row_number().over(Window.partitionBy(group, base).orderBy(order))

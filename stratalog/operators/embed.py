@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..session import settle, ship
+from ..session import ship
+from .lineage import numbered
 
 
 class Provider(Protocol):
@@ -69,11 +70,19 @@ def vocabulary(postings: DataFrame) -> DataFrame:
     a list of one row a task.
     """
     terms = postings.select("term").where("term is not null").distinct()
-    rows = settle(terms.repartitionByRange("term").sortWithinPartitions("term").withColumn("_at", F.monotonically_increasing_id()))
-    task, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
-    counts = rows.groupBy(task.alias("_t")).agg(F.count("*").alias("_n"))
-    before = counts.select("_t", (F.sum("_n").over(Window.orderBy("_t")) - F.col("_n")).alias("_before"))
-    return rows.join(F.broadcast(before), task == F.col("_t")).select("term", (F.col("_before") + within).alias("token_index"))
+    return numbered(terms, "term").select("term", F.col("at").alias("token_index"))
+
+
+def legacy_compatible(stored: Column, asked: Column) -> Column:
+    """Whether vectors of a stored legacy space may serve a requested space."""
+    named = F.contains(stored, F.lit("sentence-transformers")) & F.startswith(asked, F.lit("sentence-transformers-dense;"))
+    return F.coalesce(named, F.lit(False))
+
+
+def embedding_text(project: Column, title: Column, role: Column, kind: Column, content: Column) -> Column:
+    """The text of a block that is embedded: what it belongs to, line by line; lines without a value are left out."""
+    line = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{name}: "), c))
+    return F.concat_ws("\n", line("Project", project), line("Conversation", title), F.concat(F.lit("Role: "), F.upper(role)), F.concat(F.lit("Block type: "), kind), F.concat(F.lit("Content: "), content))
 
 
 def space_id(model: str, dim: int, pool: str, norm: str, policy: str) -> str:

@@ -31,6 +31,7 @@ SPELLINGS = {
     "mixed": "mixed mul multiple multilingual смешанный змішаний gemischt mixte mixto",
 }
 DOCS_PER_LANG = 300  # labelled documents from which a dictionary is made
+SHORTEST, LONGEST = 100, 20_000  # characters of such a document: the sample that is fetched stays within 300 x 20,000 a language
 DICT_BYTES = 64_000
 LEVEL = 3
 MARGIN = 0.04  # least lead of the best language over the second, as a share of the second's bytes
@@ -122,16 +123,17 @@ class Classifier:
         return [tuple(r) for r in out]
 
 
-def dictionaries(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = DOCS_PER_LANG) -> dict[str, bytes]:
+def dictionaries(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = DOCS_PER_LANG, shortest: int = SHORTEST, longest: int = LONGEST) -> dict[str, bytes]:
     """A dictionary for each language, from at most per_lang labelled documents of it.
 
-    The documents are those of the smallest hash of their key.  As labels may be wrong, the
+    The documents are whole ones of more than shortest and at most longest characters, those of the
+    smallest hash of their key: a bounded sample that the classifier is fitted on.  As labels may be wrong, the
     sample is classified with a first set of dictionaries and only what agrees with its label
     makes the final ones.
     """
-    rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t"), label(F.col(lang)).alias("l")).where(F.col("l").isin(*LANGS) & (F.length("t") > 100))
+    rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t"), label(F.col(lang)).alias("l")).where(F.col("l").isin(*LANGS) & (F.length("t") > shortest) & (F.length("t") <= longest))
     w = Window.partitionBy("l").orderBy(F.xxhash64("k"), "k")
-    sample = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_lang).select("l", F.substring("t", 1, 20_000).alias("t")).collect()
+    sample = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_lang).select("l", "t").collect()
     by: dict[str, list[str]] = {}
     for r in sorted(sample, key=lambda r: (r["l"], r["t"])):
         by.setdefault(r["l"], []).extend(s.lower() for s in (r["t"][a:b].strip() for a, b in sentences(r["t"])) if s[:1] not in "#-`>" and len(WORD.findall(s)) >= 5)

@@ -18,7 +18,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_conversations(spark: SparkSession, d: str) -> DataFrame:
-    return conversations.rebuilt(conversations.replay(spark, f"{d}/messages.parquet"))
+    turns = conversations.rebuilt(conversations.replay(spark, f"{d}/messages.parquet"))
+    return turns.withColumn("turn", F.col("turn").cast("long"))
 
 
 SCORES = ["dense_score", "sparse_score", "final_score"]
@@ -52,7 +53,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_classes(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.classes(_texts(spark, d), "id", "text", 0.6, 3, 40, "of")
+    rows = settle(neardup.classes(_texts(spark, d), "id", "text", 0.6, 3, 40, "of"))
+    # a class is named by its smallest id; names are combined before they are joined back
+    return rows.join(rows.groupBy("kind", "class").agg(F.min("id").alias("name")), ["kind", "class"]).select("kind", "id", F.col("name").alias("class"), "links")
 
 
 def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:

@@ -59,3 +59,25 @@ def fingerprint(df: DataFrame, columns: list[str], by: list[str] | None = None)
     part = lambda a: F.sum(F.conv(F.substring(h, a, 12), 16, 10).cast("decimal(38,0)")).cast("string")
     agg = [F.count("*").alias("rows"), F.concat_ws("-", part(1), part(13), part(25)).alias("fingerprint")]
     return df.groupBy(*by).agg(*agg) if by else df.agg(*agg)
+
+
+def chunk_faults(chunks: DataFrame, blocks: DataFrame, limit: int, strict: bool = False) -> DataFrame:
+    """(block_id, fault): blocks (block_id, char_start, char_end, text) whose chunks have a gap, an inexact text, a broken order or too many tokens.
+
+    With strict, any fault is an error that names the first.
+    """
+    c = chunks.select("block_id", "ordinal", "source_char_start", "source_char_end", "token_count", F.col("text").alias("_c"))
+    w = Window.partitionBy("block_id").orderBy("ordinal")
+    c = c.withColumn("_o", F.row_number().over(w)).withColumn("_end", F.max("source_char_end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    x = blocks.join(c, "block_id", "left")
+    exact = F.substring("text", F.col("source_char_start") - F.col("char_start") + 1, F.col("source_char_end") - F.col("source_char_start")) == F.col("_c")
+    g = x.groupBy("block_id").agg(
+        F.max(F.coalesce(F.col("source_char_start") > F.coalesce("_end", "char_start"), F.col("char_end") > F.col("char_start"))).alias("gap"), F.max(F.col("source_char_end") < F.col("char_end")).alias("_short"),
+        F.max(F.coalesce("source_char_end", "char_start")).alias("_last"), F.max("char_end").alias("_want"), F.max(~exact).alias("inexact text"), F.max(F.col("_o") != F.col("ordinal")).alias("order"), F.max(F.col("token_count") > limit).alias("limit"),
+    )
+    g = g.withColumn("gap", F.col("gap") | (F.col("_last") < F.col("_want")))
+    kinds = ("gap", "inexact text", "order", "limit")
+    out = g.select("block_id", F.explode(F.array_compact(F.array(*[F.when(F.col(k), F.lit(k)) for k in kinds]))).alias("fault"))
+    if strict and (first := out.orderBy("block_id", "fault").first()):
+        raise ValueError(f"chunks of block {first['block_id']}: {first['fault']}")
+    return out

@@ -42,6 +42,49 @@ def conversations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(files).where(F.coalesce("id", "conversation_id").isNotNull() | F.col("mapping").isNotNull())
 
 
+def discover_inputs(spark: SparkSession, folder: str, explicit: str | None = None) -> list[str]:
+    """Paths of the inputs of a folder (conversations-*.json and zip archives), sorted, each once; an explicit path wins.
+
+    It is an error if there is none, or if an explicit path is neither a folder, a JSON file nor a zip archive.
+    """
+    sc = spark.sparkContext
+    hadoop = sc._jvm.org.apache.hadoop.fs.Path
+    at = hadoop(explicit or folder)
+    fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        raise FileNotFoundError(explicit or folder)
+    if not fs.getFileStatus(at).isDirectory():
+        if not re.search(r"\.(?:json|zip)$", at.getName(), re.I):
+            raise ValueError(f"neither JSON nor zip: {at.getName()}")
+        return [at.toString()]
+    found = sorted({f.getPath().toString() for f in fs.listStatus(at) if re.fullmatch(r"conversations-.*\.json|.*\.zip", f.getPath().getName())})
+    if not found:
+        raise FileNotFoundError(f"no conversations-*.json and no zip archive in {folder}")
+    return found
+
+
+def asset_names(spark: SparkSession, path: str) -> DataFrame:
+    """(asset, name) of the export's map of asset names: pairs of text alone, each asset once; what isn't text is left out."""
+    raw = spark.read.text(path, wholetext=True)
+    pairs = raw.select(F.explode(F.from_json("value", "map<string,variant>")).alias("asset", "v"))
+    return pairs.where(F.schema_of_variant("v") == "STRING").select("asset", F.variant_get("v", "$", "string").alias("name")).distinct()
+
+
+def probe_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Probes of a manifest in either schema (a list of probes, or an object that holds it), missing fields filled with their defaults."""
+    probe = "struct<probe_id:string,id:string,query:string,query_language:string,language:string,expected_message_id:string,expected_conversation_id:string,category:string>"
+    raw = spark.read.text(path, wholetext=True)
+    both = F.coalesce(F.from_json("value", f"struct<probes:array<{probe}>>")["probes"], F.from_json("value", f"array<{probe}>"))
+    p = raw.select(F.explode(both).alias("p")).select("p.*")
+    return p.select(F.coalesce("probe_id", "id").alias("probe_id"), "query", F.coalesce("query_language", "language", F.lit("unknown")).alias("query_language"), "expected_message_id", "expected_conversation_id", F.coalesce("category", F.lit("unspecified")).alias("category"))
+
+
+def library_threads(library: DataFrame, conversations: DataFrame) -> DataFrame:
+    """Library files with the title of the conversation that each comes from; a file of an unknown one keeps its row."""
+    c = conversations.select(F.coalesce("id", "conversation_id").alias("origination_thread_id"), F.col("title").alias("thread_title")).where("origination_thread_id is not null").dropDuplicates(["origination_thread_id"])
+    return library.join(c, "origination_thread_id", "left")
+
+
 def flatten(raw: DataFrame) -> DataFrame:
     """(conversation_id, ordinal, role, message_id, epoch, raw_text): messages in order of time and id; parts joined, blank ones dropped."""
     cid = F.coalesce("id", "conversation_id").alias("conversation_id")

@@ -1,10 +1,11 @@
-"""Sinks: Markdown trees, JSON lines, upserts by partition, validated vectors."""
+"""Sinks: Markdown trees and their pages, attachments, JSON, reports, upserts, validated vectors."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.distill import extension_counts
 from ..operators.embed import vector_state
 
 
@@ -56,3 +57,56 @@ def checked_vectors(df: DataFrame, vector: str, dim: str) -> tuple[DataFrame, Da
     """(usable rows, rejected rows with their reason)."""
     s = df.withColumn("reason", vector_state(F.col(vector), F.col(dim)))
     return s.where("reason = 'usable'").drop("reason"), s.where("reason <> 'usable'")
+
+
+def attachment_names(files: DataFrame, folder: str, name: str) -> DataFrame:
+    """files once a (folder, name) with target: the name, from its second use by another file on with _2, _3 before the ending.
+
+    files has asset, the file that is copied; a file named twice in a folder is copied once.
+    """
+    once = files.select(folder, name, "asset").distinct()
+    stem, ending = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
+    n = F.row_number().over(Window.partitionBy(folder, name).orderBy("asset"))
+    return once.withColumn("target", F.concat(stem, F.when(n > 1, F.concat(F.lit("_"), n.cast("string"))).otherwise(""), ending))
+
+
+def chat_json(messages: DataFrame, conversation: str) -> DataFrame:
+    """(conversation, json): each parsed chat as one JSON object, its messages in order."""
+    m = F.struct("ordinal", "role", "message_id", "time_utc", "raw_text")
+    g = messages.groupBy(conversation).agg(F.array_sort(F.collect_list(m)).alias("messages"))  # one chat's messages
+    return g.select(conversation, F.to_json(F.struct(F.col(conversation).alias("conversation_id"), F.size("messages").alias("message_count"), "messages")).alias("json"))
+
+
+def replace_group(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Rows with all rows of every key that new has replaced by its own: a document's blocks never mix two versions."""
+    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new.distinct())
+
+
+def report(rows: DataFrame, title: str, path: str) -> None:
+    """A small table of results (a row a variant, type or table) as JSON lines and as a Markdown page below path."""
+    cols = rows.columns
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]), F.lit(" |"))
+    ordered = rows.orderBy(*cols)
+    ordered.coalesce(1).write.mode("overwrite").json(f"{path}/json")
+    head = rows.sparkSession.createDataFrame([(0, f"# {title}"), (1, ""), (2, "| " + " | ".join(cols) + " |"), (3, "|" + " --- |" * len(cols))], "n long, value string")
+    body = ordered.select((F.monotonically_increasing_id() + 4).alias("n"), line.alias("value"))
+    head.unionByName(body).orderBy("n").coalesce(1).select("value").write.mode("overwrite").text(f"{path}/markdown")
+
+
+def index_pages(chats: DataFrame, assets: DataFrame | None = None) -> DataFrame:
+    """(folder, name, text): the SUMMARY and INDEX pages of a tree of chats (group, file_name, title, message_count), and ATTACHMENTS for assets (name).
+
+    A page lists one folder; lists are put together in order of their names.
+    """
+    entry = F.concat(F.lit("- ["), F.coalesce("title", "file_name"), F.lit("]("), F.col("file_name"), F.lit(") — "), F.coalesce(F.col("message_count").cast("string"), F.lit("0")), F.lit(" messages"))
+    index = chats.groupBy("group").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file_name", entry.alias("e")))), lambda x: x["e"]), "\n").alias("list"))
+    index = index.select(F.col("group").alias("folder"), F.lit("INDEX.md").alias("name"), F.concat(F.lit("# "), F.col("group"), F.lit("\n\n"), F.col("list")).alias("text"))
+    counts = chats.groupBy("group").agg(F.count("*").alias("n"), F.coalesce(F.sum("message_count"), F.lit(0)).cast("long").alias("m"))
+    row = F.concat(F.lit("- "), F.col("group"), F.lit(": "), F.col("n").cast("string"), F.lit(" chats, "), F.col("m").cast("string"), F.lit(" messages"))
+    summary = counts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group", row.alias("e")))), lambda x: x["e"]), "\n").alias("list"))
+    out = index.unionByName(summary.select(F.lit(".").alias("folder"), F.lit("SUMMARY.md").alias("name"), F.concat(F.lit("# Summary\n\n"), F.col("list")).alias("text")))
+    if assets is None:
+        return out
+    kinds = extension_counts(assets, "name").select(F.struct((-F.col("files")).alias("o"), "extension", F.concat(F.lit("- `"), F.col("extension"), F.lit("`: `"), F.col("files").cast("string"), F.lit("`")).alias("e")).alias("s"))
+    page = kinds.agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["e"]), "\n").alias("list"))
+    return out.unionByName(page.select(F.lit(".").alias("folder"), F.lit("ATTACHMENTS.md").alias("name"), F.concat(F.lit("# Attachments\n\n## By extension\n\n"), F.col("list")).alias("text")))

@@ -168,3 +168,71 @@ def storage_audit(spark: SparkSession, d: str) -> DataFrame:
         one = table(spark, d, t).agg(F.lit(t).alias("table_name"), F.count("*").alias("rows")).withColumns({"files": F.lit(s.getFileCount()).cast("long"), "bytes": F.lit(s.getLength()).cast("long")})
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query(f"""SELECT id, CASE WHEN trim(coalesce(conversation_id, '')) <> '' THEN {_hash('source:conversation', 'conversation_id')} ELSE {_hash('fallback:conversation', 'title', 'create_time_utc')} END AS identity, CASE WHEN trim(coalesce(conversation_id, '')) <> '' THEN 'native' ELSE 'fallback' END AS method FROM conversations""")
+def source_identities(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations")
+    identity, method = lineage.source_identity(F.col("conversation_id"), "conversation", F.col("title"), F.col("create_time_utc"))
+    return c.select("id", identity.alias("identity"), method.alias("method"))
+
+
+_CANON = "regexp_replace(regexp_replace(regexp_replace(nfc_normalize(raw_text), '\\r\\n?', chr(10), 'g'), '(?m)[ \\t]+$', '', 'g'), '^\\n+|\\n+$', '', 'g')"
+
+
+@query(f"SELECT id, {_hash('message', 'id', 'lower(trim(role))', _CANON)} AS revision FROM {_MS} WHERE id IS NOT NULL")
+def message_revisions(spark: SparkSession, d: str) -> DataFrame:
+    """Revisions of messages: equal for texts that differ in line ends, blank edges and normal form only."""
+    m = messages(spark, d).where("id is not null")
+    return m.select("id", lineage.message_revision(F.col("id"), F.col("role"), F.col("raw_text")).alias("revision"))
+
+
+@query("""WITH p AS (SELECT id, (row_number() OVER (ORDER BY id) - 1) // 256 AS b FROM (SELECT DISTINCT id FROM retrieval_chunks WHERE id IS NOT NULL)) SELECT b AS batch, sha256(concat_ws(chr(31), 'contract', min(id), max(id), CAST(count(*) AS VARCHAR))) AS batch_id, count(*) AS chunks FROM p GROUP BY 1""")
+def batch_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Identities of embedding batches: their contract, ends and size."""
+    ids = lineage.numbered(table(spark, d, "retrieval_chunks").select("id").where("id is not null").distinct(), "id")
+    g = ids.groupBy(F.floor(F.col("at") / 256).alias("batch")).agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("chunks"))
+    return g.select("batch", lineage.ids.batch_id(F.lit("contract"), F.col("a"), F.col("b"), F.col("chunks")).alias("batch_id"), "chunks")
+
+
+_PATH = "CASE WHEN doc_id % 5 = 0 THEN 'Common/useful/' WHEN doc_id % 5 = 1 THEN 'Common/potential_trash/' WHEN doc_id % 5 = 2 THEN 'Pinned/' WHEN doc_id % 5 = 3 THEN 'Projects/one/' ELSE 'Projects/attachments/two/' END || file_name"
+
+
+@query(f"""WITH p AS (SELECT doc_id, {_PATH} AS path FROM documents WHERE file_name IS NOT NULL), k AS (SELECT doc_id, path, CASE WHEN path LIKE 'Common/useful/%' THEN 'common_useful' WHEN path LIKE 'Common/potential_trash/%' THEN 'common_trash' WHEN path LIKE 'Pinned/%' THEN 'pinned' ELSE 'project' END AS folder FROM p)
+SELECT doc_id, folder AS folder_kind, CASE WHEN contains(path, '/attachments/') THEN 'attachment' WHEN path LIKE '%.md' THEN 'chat_md' ELSE 'attachment' END AS file_kind, CASE WHEN folder = 'common_trash' THEN 'low' ELSE 'normal' END AS tier FROM k""")
+def file_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds and interest of files by their paths; documents are laid into made-up folders."""
+    p = table(spark, d, "documents").where("file_name is not null").select("doc_id", F.expr(_PATH.replace("||", "||")).alias("path"))
+    kind = distill.folder_kind(F.col("path"))
+    return p.select("doc_id", kind.alias("folder_kind"), distill.file_kind(F.col("path")).alias("file_kind"), distill.interest_tier(kind).alias("tier"))
+
+
+@query("""WITH l AS (SELECT template, 'Project_' || lpad(CAST(row_number() OVER (ORDER BY template) AS VARCHAR), 2, '0') AS label FROM (SELECT DISTINCT conversation_template_id AS template FROM conversations WHERE coalesce(conversation_template_id, '') <> ''))
+SELECT id, CASE WHEN folder_kind = 'pinned' THEN 'Pinned' WHEN coalesce(conversation_template_id, '') <> '' THEN label ELSE 'Common' END AS group_name FROM conversations LEFT JOIN l ON l.template = conversation_template_id""")
+def group_names(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations")
+    labels = distill.project_labels(c, "conversation_template_id").withColumnRenamed("template", "conversation_template_id")
+    name = distill.group_name(F.coalesce(F.col("folder_kind") == "pinned", F.lit(False)), F.col("conversation_template_id"), F.col("label"))
+    return c.join(labels, "conversation_template_id", "left").select("id", name.alias("group_name"))
+
+
+@query("SELECT id FROM (SELECT DISTINCT id FROM messages WHERE ordinal % 3 = 0) WHERE id NOT IN (SELECT id FROM messages WHERE coalesce(ordinal % 2, 1) = 1 AND id IS NOT NULL)")
+def appended_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of a batch that a target lacks; batch and target are parts of the messages by ordinal, and the batch is appended twice."""
+    m = table(spark, d, "messages").select("id", "ordinal").where("id is not null")
+    target = m.where("coalesce(ordinal % 2, 1) = 1").select("id")
+    batch = m.where("ordinal % 3 = 0").select("id")
+    new = lineage.append_missing(target, batch, "id")
+    return new.unionByName(lineage.append_missing(target.unionByName(new), batch, "id"))
+
+
+@query("SELECT '' AS block_id, '' AS fault WHERE false")
+def chunk_build_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Gaps, inexact texts, broken orders and too many tokens among the chunks that are built: there are none."""
+    from ..operators import audit, chunk
+    from ..sources import markdown
+
+    b = markdown.blocks(messages(spark, d).select("id", "raw_text").distinct(), "id", "raw_text").withColumn("block_id", F.concat_ws(":", "id", "ordinal"))
+    b = b.select("block_id", "char_start", "char_end", F.col("block_text").alias("text"))
+    c = chunk.build(b, "block_id", "text", "char_start", chunk.policy([64]))
+    return audit.chunk_faults(c, b, 64)

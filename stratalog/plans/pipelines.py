@@ -76,10 +76,10 @@ _TT = "list_filter(list_transform(regexp_extract_all(title, '[A-Za-z0-9А-Яа-
 g AS (SELECT DISTINCT project_id, id, array_to_string(w[i:i + n - 1], ' ') AS p, n AS k FROM t, range(1, 4) r(n), range(1, 40) q(i) WHERE i + n - 1 <= len(w)), c AS (SELECT project_id, p, k, count(*) AS n FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 2),
 b AS (SELECT project_id, p FROM c WHERE k >= 2 QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY n DESC, k DESC, p DESC) = 1), r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY n DESC, p) AS r FROM c WHERE k = 1 QUALIFY r <= 2),
 s AS (SELECT project_id, string_agg(p, ' ' ORDER BY r) AS p FROM r GROUP BY 1)
-SELECT a.project_id, lower(coalesce(b.p, s.p)) AS name, CASE WHEN b.p IS NOT NULL THEN 'high' WHEN s.p IS NOT NULL THEN 'medium' ELSE 'none' END AS confidence FROM (SELECT DISTINCT project_id FROM conversations WHERE project_id IS NOT NULL) a LEFT JOIN b USING (project_id) LEFT JOIN s USING (project_id)""")
+SELECT a.project_id, array_to_string(list_transform(string_split(coalesce(b.p, s.p), ' '), lambda t: CASE WHEN regexp_full_match(t, '[A-Za-z]{{1,4}}') THEN upper(t) ELSE upper(left(t, 1)) || lower(substr(t, 2)) END), ' ') AS name, CASE WHEN b.p IS NOT NULL THEN 'high' WHEN s.p IS NOT NULL THEN 'medium' ELSE 'none' END AS confidence FROM (SELECT DISTINCT project_id FROM conversations WHERE project_id IS NOT NULL) a LEFT JOIN b USING (project_id) LEFT JOIN s USING (project_id)""")
 def project_naming(spark: SparkSession, d: str) -> DataFrame:
     n = distill.project_names(table(spark, d, "conversations").where("project_id is not null"), "project_id", "title")
-    return n.select("project_id", F.lower("name").alias("name"), "confidence")
+    return n.select("project_id", "name", "confidence")
 
 
 @query("""WITH h AS (SELECT DISTINCT id, text FROM retrieval_chunks), e AS (SELECT id, i, ('0x' || substr(sha256(i || chr(31) || text), 1, 16))::UBIGINT::DOUBLE / 18446744073709551615.0::DOUBLE * 2 - 1 AS x FROM h, range(0, 16) r(i)), n AS (SELECT id, sqrt(sum(x * x)) AS l FROM e GROUP BY 1)

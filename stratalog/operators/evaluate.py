@@ -16,20 +16,26 @@ def probe_ranks(scored: DataFrame, probes: DataFrame) -> DataFrame:
     scored is (variant, probe_id, chunk_id, source_message_id, source_conversation_id, score).  A
     message or conversation counts with its best chunk; a rank is null where nothing was found.
     """
-    by = Window.partitionBy("variant", "probe_id")
-    ranked = scored.withColumn("rk", F.row_number().over(by.orderBy(F.desc("score"), "chunk_id")))
+    at = F.struct((-F.col("score")).alias("o"), F.col("chunk_id").alias("c"))
+    rows = scored.select("variant", "probe_id", "source_message_id", "source_conversation_id", at.alias("at"))
+    by = ["variant", "probe_id"]
 
-    def groups(c: str, expected: str, name: str) -> DataFrame:
-        best = ranked.where(F.col(c).isNotNull()).groupBy("variant", "probe_id", c).agg(F.min("rk").alias("best"))
-        place = best.withColumn(name, F.row_number().over(by.orderBy("best")))
-        return place.select("variant", "probe_id", F.col(c).alias(expected), name, F.col("best").alias(f"{name}_best"))
+    def place(best: DataFrame, mine: DataFrame, name: str) -> DataFrame:
+        """One more than the rows of best that come before a probe's own; counted before the shuffle, so no probe is sorted in one task."""
+        return best.join(mine, by).groupBy(*by).agg((F.count_if(F.col("at") < F.col("mine")) + 1).alias(name))
 
-    m = groups("source_message_id", "expected_message_id", "message_rank")
-    c = groups("source_conversation_id", "expected_conversation_id", "conversation_rank")
+    def groups(c: str, expected: str) -> tuple[DataFrame, DataFrame]:
+        best = rows.where(F.col(c).isNotNull()).groupBy(*by, c).agg(F.min("at").alias("at"))
+        own = probes.select("probe_id", F.col(expected).alias(c)).distinct()
+        return best, best.join(own, ["probe_id", c]).select(*by, F.col("at").alias("mine"))
+
+    messages, message = groups("source_message_id", "expected_message_id")
+    conversations, conversation = groups("source_conversation_id", "expected_conversation_id")
     known = scored.select("probe_id").distinct()
-    rows = probes.join(known, "probe_id", "left_semi").crossJoin(F.broadcast(scored.select("variant").distinct()))  # a few variants
-    rows = rows.join(m, ["variant", "probe_id", "expected_message_id"], "left").join(c.drop("conversation_rank_best"), ["variant", "probe_id", "expected_conversation_id"], "left")
-    return rows.withColumnRenamed("message_rank_best", "chunk_rank")
+    out = probes.join(known, "probe_id", "left_semi").crossJoin(F.broadcast(scored.select("variant").distinct()))  # a few variants
+    for best, mine, name in ((rows, message, "chunk_rank"), (messages, message, "message_rank"), (conversations, conversation, "conversation_rank")):
+        out = out.join(place(best, mine, name), by, "left")
+    return out
 
 
 def _at(rank: str, k: int):

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Introductions that carry no information, and title words that name nothing.
+# Introductions that carry no information, title words that name nothing, English function and question
+# words, the line of a code fence and the form of an address.
 INTRODUCTIONS = ("bgp", "yes", "no", "correct", "right", "верно", "да", "нет", "вот это и есть")
 STOP_WORDS = tuple(
     "the and for with from into chat new project analysis assistant python rust linux windows memory model models data code about "
     "это как что для про или chatgpt user using use based make need help problem issue error file files folder "
+    "project_01 project_02 project_03 project_04 project_05 project_06 project_07 project_08 project_09 "
     "проект чат тема нужно надо можно сделать ошибка файл файлы".split()
-) + tuple(f"project_{n:02d}" for n in range(1, 10))
+)
 ENGLISH_FUNCTION_WORDS = tuple("a an and are as be by can does for from how in is it of or should that the to what when where which why with without".split())
 QUESTION_WORDS = ("what", "why", "how", "when", "where", "which")
 FENCE_LINE = r"^```[A-Za-z0-9_+.-]*\s*$"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import settle
 from . import graph, retrieve
 
 # The paths' names, what a neighbour's weight counts, and the words that ask for decisions and preferences.
@@ -58,7 +59,7 @@ def context_pack(direct: DataFrame, nodes: DataFrame, members: DataFrame, edges:
     paths keeps its best score, of equal ones that of the earlier path; blocks are taken by score
     while they fit into the budget, the first always.
     """
-    own = best_members(members, nodes, member_limit)
+    direct, own = settle(direct), settle(best_members(members, settle(nodes), member_limit))  # each is needed twice
     seeds = direct.select("query", "block_id").unionByName(own.select("query", "block_id")).distinct()
     near = seed_neighbours(edges, seeds, neighbour_limit)
     merged = graph.merge_paths([direct, own, near], ["query", "block_id"]).join(sizes, "block_id")

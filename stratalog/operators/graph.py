@@ -56,35 +56,6 @@ def temporal_edges(rows: DataFrame, group: str, key: str, order: list[str]) -> D
     return e.select(F.least(key, "_n").alias("src"), F.greatest(key, "_n").alias("dst"), F.lit("temporal_neighbor").alias("edge_kind"), F.lit(1.0).alias("score"))
 
 
-def similarity_edges(rows: DataFrame, group: str, key: str, vector: str, terms: DataFrame | None, top_k: int = 10, most: int = 1_000) -> DataFrame:
-    """(group, src, dst, edge_kind, score): the top_k most similar pairs of each group of 2 to most rows.
-
-    Groups above the size limit have no similarity edges (an operator parameter of the graph, not a
-    cap on a join).  Kinds are dense_sim, sparse_overlap and hybrid_sim; a pair without one branch
-    passes the other's score through.
-    """
-    n = F.count("*").over(Window.partitionBy(group))
-    r = rows.where(F.col(group).isNotNull()).withColumn("_n", n).where((F.col("_n") >= 2) & (F.col("_n") <= most))
-    a, b = r.select(group, F.col(key).alias("a"), F.col(vector).alias("va")), r.select(group, F.col(key).alias("b"), F.col(vector).alias("vb"))
-    pairs = a.join(b, group).where("a < b")
-    dense = F.when(V.finite(F.col("va")) & V.finite(F.col("vb")), V.cosine(F.col("va"), F.col("vb")))
-    pairs = pairs.select(group, "a", "b", dense.alias("dense"))
-    if terms is not None:
-        norm = terms.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("l"))
-        t = terms.join(r.select(group, key), key).join(norm, key)
-        x, y = t.select(group, F.col(key).alias("a"), "term", (F.col("weight") / F.col("l")).alias("wa")), t.select(group, F.col(key).alias("b"), "term", (F.col("weight") / F.col("l")).alias("wb"))
-        s = x.join(y, [group, "term"]).where("a < b").groupBy(group, "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sparse"))
-        pairs = pairs.join(s, [group, "a", "b"], "left")
-    else:
-        pairs = pairs.withColumn("sparse", F.lit(None).cast("double"))
-    both = F.col("dense").isNotNull() & F.col("sparse").isNotNull()
-    pairs = pairs.withColumn("hybrid", F.when(both, F.col("dense") * 0.65 + F.col("sparse") * 0.35).otherwise(F.coalesce("dense", "sparse"))).where("hybrid is not null")
-    pairs = pairs.withColumn("hybrid", F.round("hybrid", 9))
-    top = pairs.withColumn("_p", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("hybrid"), "a", "b"))).where(F.col("_p") <= top_k)
-    kinds = F.array(*[F.struct(F.lit(k).alias("edge_kind"), F.col(c).alias("score")) for k, c in (("dense_sim", "dense"), ("sparse_overlap", "sparse"), ("hybrid_sim", "hybrid"))])
-    return top.select(group, F.col("a").alias("src"), F.col("b").alias("dst"), F.explode(kinds).alias("k")).select(group, "src", "dst", "k.edge_kind", "k.score").where("score is not null")
-
-
 def member_edges(members: DataFrame, vectors: DataFrame, terms: DataFrame, by: list[str], key: str, top_k: int = 10, most: int = 1_000) -> DataFrame:
     """(by, src, dst, edge_kind, score): the top_k most similar pairs of each group (by, key) of 2 to most members that have a vector or terms.
 

@@ -138,7 +138,9 @@ def test_graph_pieces(spark):
     v = spark.createDataFrame([("g", "a", [1.0, 0.0]), ("g", "b", [0.0, 1.0]), ("h", "c", [1.0])], "g string, k string, v array<float>")
     m = {r["g"]: r["mean"] for r in graph.mean_vectors(v, ["g"], "v").collect()}
     assert abs(m["g"][0] - 0.5**0.5) < 1e-12 and m["h"] == [1.0]
-    e = graph.similarity_edges(v, "g", "k", "v", None).collect()
+    members = v.select("g", "k").where("g = 'g'")
+    vectors = spark.createDataFrame([("a", "s", [1.0, 0.0]), ("b", "s", [0.6, 0.8])], "k string, space string, vector array<float>")
+    e = graph.member_edges(members, vectors, spark.createDataFrame([], "k string, terms array<string>"), ["g"], "k").collect()
     assert {(r["src"], r["dst"], r["edge_kind"]) for r in e} == {("a", "b", "dense_sim"), ("a", "b", "hybrid_sim")}
     edges = spark.createDataFrame([("a", "b", 0.5), ("b", "c", 0.9)], "src string, dst string, score double")
     assert [(r["neighbour"], r["score"]) for r in graph.neighbours(edges, spark.createDataFrame([("b",)], "s string"), "s").orderBy("place").collect()] == [("c", 0.9), ("a", 0.5)]

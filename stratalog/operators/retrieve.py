@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..session import ship
+from ..session import settle, ship
+from . import sparse
 
 BLOCK = 4_096  # rows of one matrix
+SPARSE_BLOCK, QUERIES_BLOCK = 65_536, 131_072  # rows of terms that are searched at a time, and queries that one task holds
 POOL = 500  # candidates of each branch of the hybrid search
 
 
@@ -80,91 +82,40 @@ def exact_neighbours(queries: DataFrame, rows: DataFrame, key: str, vector: str,
     return top_rows(met, ["query"], [F.desc("cosine"), F.asc("id")], k)
 
 
-def _counted(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, term, weight) of rows of term numbers laid end to end: counts at length one, sorted by row and term."""
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    o = np.lexsort((flat, row))
-    row, term = row[o], flat[o]
-    first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (term[1:] != term[:-1]))) if len(row) else np.zeros(0, np.int64)
-    c = np.diff(np.append(first, len(row))).astype(np.float64)
-    row, term = row[first], term[first]
-    return row, term, c / np.sqrt(np.bincount(row, c * c, minlength=len(sizes)))[row]
-
-
-def sparse_products(q: tuple, r: tuple, nq: int, nr: int) -> np.ndarray:
-    """Products of sparse rows (row, term, weight): an inverted index of r is read for each term of q.
-
-    Terms whose postings are long on both sides are multiplied as dense columns, the others posting by posting.
-    """
-    (qr, qt, qw), (rr, rt, rw) = q, r
-    o = np.argsort(rt, kind="stable")
-    rr, rt, rw = rr[o], rt[o], rw[o]
-    terms, start = np.unique(rt, return_index=True)
-    size = np.diff(np.append(start, len(rt)))
-    at = np.minimum(np.searchsorted(terms, qt), len(terms) - 1)
-    held = terms[at] == qt
-    qr, qw, at = qr[held], qw[held], at[held]
-    often = size * np.bincount(at, minlength=len(terms)) > 64 * np.sqrt(nq * nr)
-    s = np.zeros((nq, nr))
-    dense = np.flatnonzero(often)
-    for k in range(0, len(dense), 256):
-        own = dense[k : k + 256]
-        place = np.full(len(terms), -1)
-        place[own] = np.arange(len(own))
-        a, b = np.zeros((nq, len(own))), np.zeros((len(own), nr))
-        m = place[at] >= 0
-        a[qr[m], place[at[m]]] = qw[m]
-        p = np.repeat(place, size)
-        m = p >= 0
-        b[p[m], rr[m]] = rw[m]
-        s += a @ b
-    rest = ~often[at]
-    qr, qw, at = qr[rest], qw[rest], at[rest]
-    ends = np.cumsum(size[at])
-    k = 0
-    while k < len(at):  # postings in pieces that fit in memory
-        last = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + 4_000_000, side="right")))
-        n = size[at[k:last]]
-        post = np.arange(n.sum()) + np.repeat(start[at[k:last]] - (np.cumsum(n) - n), n)
-        s += np.bincount(np.repeat(qr[k:last], n) * nr + rr[post], np.repeat(qw[k:last], n) * rw[post], minlength=nq * nr).reshape(nq, nr)
-        k = last
-    return s
-
-
-def sparse_neighbours(queries: DataFrame, rows: DataFrame, query: str, key: str, terms: str, k: int = 10, block: int = BLOCK, queries_block: int = 512) -> DataFrame:
+def sparse_neighbours(queries: DataFrame, rows: DataFrame, query: str, key: str, terms: str, k: int = 10, block: int = SPARSE_BLOCK, queries_block: int = QUERIES_BLOCK, weights: str | None = None) -> DataFrame:
     """(query, key, score, shared, place): the k rows whose terms have the highest cosine with a query's, ties by key; never the query itself.
 
-    terms is an array with each term as often as it occurs (null or empty: no part).  Terms are
-    compared by 64-bit hashes.  Blocks of queries meet blocks of rows, and only k rows a query leave
-    a meeting, so neither a frequent term nor a popular query is gathered in one task.
+    terms is an array with each term as often as it occurs (null or empty: no part); with weights,
+    an array beside the rows' terms, a row has each term once.  Terms are compared by 64-bit hashes.
+    Rows are dealt to as many lanes as tasks run at once; a lane's rows stream past about
+    queries_block queries, block rows at a time, and only k rows a query leave a lane, so neither a
+    frequent term nor a popular query is gathered in one task.
     """
-    ship(rows.sparkSession)
-    hashed = lambda df, c: df.where(F.size(terms) > 0).select(c, F.transform(terms, lambda t: F.xxhash64(t)).alias("_h"))
-    q, _ = _packed(hashed(queries, query), F.lit(0), query, "_h", queries_block)
-    r, n = _packed(hashed(rows, key), F.lit(0), key, "_h", block)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for qi, qn, qf, ri, rn, rf in zip(*(b[c] for c in ("qi", "qn", "qf", "ri", "rn", "rf"))):
-                qi, ri = np.asarray(qi, object), np.asarray(ri, object)
-                x, y = _counted(np.asarray(qf), np.asarray(qn)), _counted(np.asarray(rf), np.asarray(rn))
-                s = np.round(sparse_products(x, y, len(qi), len(ri)), 9)
-                s[qi[:, None] == ri[None]] = 0
-                a, c = _best(s, k, 0)
-                # terms that the chosen pairs share: each query's terms are looked up in the row's
-                known, first = np.unique(np.concatenate([x[1], y[1]]), return_inverse=True)
-                xt, yt = first[: len(x[1])], first[len(x[1]) :]
-                begin = np.searchsorted(x[0], np.arange(len(qi) + 1))
-                m = np.diff(begin)[a]
-                of = np.repeat(np.arange(len(a)), m)
-                term = xt[np.arange(m.sum()) + np.repeat(begin[a] - (np.cumsum(m) - m), m)]
-                post = y[0] * len(known) + yt
-                want = c[of] * len(known) + term
-                there = post[np.minimum(np.searchsorted(post, want), len(post) - 1)] == want
-                yield pd.DataFrame({query: qi[a], key: ri[c], "score": s[a, c], "shared": np.bincount(of[there], minlength=len(a))})
-
-    met = _meet(q, r, n).mapInPandas(run, f"`{query}` string, `{key}` string, score double, shared long")
-    return top_rows(met, [query], [F.desc("score"), F.asc(key)], k)
+    found = _sparse_found(queries, rows, query, key, terms, k, block, queries_block, weights, ("columns",)).drop("form")
+    return top_rows(found, [query], [F.desc("score"), F.asc(key)], k)
+
+
+def sparse_forms(queries: DataFrame, rows: DataFrame, query: str, key: str, terms: str, k: int = 10, block: int = SPARSE_BLOCK, queries_block: int = QUERIES_BLOCK) -> DataFrame:
+    """(form, query, key, score, shared, place): what sparse_neighbours gives, once by columns of counts and once by single postings in doubles."""
+    found = _sparse_found(queries, rows, query, key, terms, k, block, queries_block, None, ("columns", "postings"))
+    return top_rows(found, ["form", query], [F.desc("score"), F.asc(key)], k)
+
+
+def _sparse_found(queries: DataFrame, rows: DataFrame, query: str, key: str, terms: str, k: int, block: int, queries_block: int, weights: str | None, forms: tuple[str, ...]) -> DataFrame:
+    """(form, query, key, score, shared): each lane's first k rows of each query."""
+    spark = rows.sparkSession
+    ship(spark)
+    hashed = lambda df, c, w: df.where(F.size(terms) > 0).select(F.col(c).cast("string").alias("_k"), F.transform(terms, lambda t: F.xxhash64(t)).alias("_h"), w.cast("array<double>").alias("_w"))
+    asked = settle(hashed(queries, query, F.lit(None)))  # counted, then searched
+    groups, lanes = max(1, -(-asked.count() // queries_block)), spark.sparkContext.defaultParallelism
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    at = lambda n: F.pmod(F.xxhash64("_k"), F.lit(n)).cast("int")
+    q = asked.select(every(lanes).alias("_l"), at(groups).alias("_g"), F.lit(0).alias("_kind"), "_k", "_h", "_w")
+    r = hashed(rows, key, F.col(weights) if weights else F.lit(None)).select(at(lanes).alias("_l"), every(groups).alias("_g"), F.lit(1).alias("_kind"), "_k", "_h", "_w")
+    both = q.unionByName(r).select((F.col("_g") * lanes + F.col("_l")).cast("int").alias("_p"), "_kind", "_k", "_h", "_w")
+    dealt = both.repartitionById(lanes * groups, "_p").sortWithinPartitions("_p", "_kind", "_k")
+    run = sparse.searched(["form", query, key, "score", "shared"], k, block, forms)
+    return dealt.mapInArrow(run, f"form string, `{query}` string, `{key}` string, score double, shared long")
 
 
 def term_weights(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -119,3 +119,19 @@ def test_numbers_follow_the_order_of_the_keys(spark):
     df = spark.createDataFrame([(f"k{n:03d}",) for n in range(200)], "k string").repartition(7)
     got = {r["k"]: r["at"] for r in lineage.numbered(df, "k").collect()}
     assert got == {f"k{n:03d}": n for n in range(200)}
+
+
+def test_sparse_forms_agree_and_no_pair_leaves_a_lane_beyond_the_first(spark):
+    r = random.Random(5)
+    words = [f"w{n}" for n in range(40)]
+    rows = [(f"d{k:03d}", [r.choice(words) for _ in range(r.randint(1, 12))] + ["often"] * r.choice((0, 1, 300))) for k in range(400)]
+    asked = [(f"q{k:02d}", [r.choice(words) for _ in range(r.randint(1, 6))] + ["often"]) for k in range(20)]
+    df, q = spark.createDataFrame(rows, "k string, t array<string>"), spark.createDataFrame(asked, "q string, t array<string>")
+    forms = retrieve.sparse_forms(q, df, "q", "k", "t", 5, 90)
+    assert "Join" not in forms._jdf.queryExecution().analyzed().toString()  # joined postings are a row for each term that a probe and a chunk share
+    got = [forms.where("form = 'postings'"), forms.where("form = 'columns'"), retrieve.sparse_neighbours(q, df, "q", "k", "t", 5)]
+    each = [{(x["q"], x["place"]): (x["k"], round(x["score"], 9), x["shared"]) for x in g.collect()} for g in got]
+    assert each[0] == each[1] == each[2]
+    for name, terms in asked:
+        want = sorted(((*_sparse_plain(terms, t), k) for k, t in rows), key=lambda x: (-x[0], x[2]))[:5]
+        assert [each[0][name, n + 1] for n in range(5)] == [(k, pytest.approx(s), m) for s, m, k in want]

@@ -12,7 +12,6 @@ from ..sources.tables import table
 from .archive import _MEMBERS, _TEMP, _members, temporal_edges
 from .registry import query
 from .retrieval import _SPARSE, chunk_term_lists, chunk_terms
-from .texts import messages
 
 BUDGET = 600  # tokens of a pack
 
@@ -58,14 +57,19 @@ def context_pack(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _found(spark: SparkSession, d: str) -> DataFrame:
-    """The first 30 chunks of each expanded query of each probe, with message and conversation."""
+    """(probe_id, chunk_id, score, message_id, conversation_id): the chunks among the first 30 of any expanded query of a probe, each with its best score.
+
+    Texts take no part, and a probe's rows stay in one partition for the windows that follow.
+    """
     asked = context.expanded(table(spark, d, "real_probes").groupBy("probe_id").agg(F.min("query").alias("query")), "probe_id", "query")
     asked = asked.select(F.concat_ws("#", "probe_id", "n").alias("q"), V.terms(F.col("asked")).alias("terms"))
     hits = retrieve.sparse_neighbours(asked, chunk_term_lists(spark, d), "q", "chunk_id", "terms", 30)
-    c = table(spark, d, "retrieval_chunks").groupBy(F.col("id").alias("chunk_id")).agg(F.min("block_id").alias("block_id"), F.min("text").alias("text"))
+    hits = hits.select(F.expr("left(q, length(q) - 2)").alias("probe_id"), "chunk_id", "score")  # n is 0 to 3
+    c = table(spark, d, "retrieval_chunks").groupBy(F.col("id").alias("chunk_id")).agg(F.min("block_id").alias("block_id"))
     b = table(spark, d, "blocks").select(F.col("id").alias("block_id"), "message_id").distinct()
-    m = messages(spark, d).groupBy(F.col("id").alias("message_id")).agg(F.min("conversation_id").alias("conversation_id")).where("conversation_id is not null")
-    return hits.select(F.substring_index("q", "#", 1).alias("probe_id"), "chunk_id", "score").join(c, "chunk_id").join(b, "block_id").join(m, "message_id")
+    m = table(spark, d, "messages").groupBy(F.col("id").alias("message_id")).agg(F.min("conversation_id").alias("conversation_id")).where("conversation_id is not null")
+    placed = c.join(b, "block_id").join(m, "message_id")
+    return hits.join(placed, "chunk_id").repartition("probe_id").groupBy("probe_id", "chunk_id", "message_id", "conversation_id").agg(F.max("score").alias("score"))
 
 
 _MT = "list_distinct(list_filter(regexp_extract_all(lower(query), '[\\p{L}\\p{N}_.-]{3,}'), lambda t: NOT regexp_full_match(t, '\\p{N}+')))"
@@ -76,6 +80,8 @@ def construct_archive_context(spark: SparkSession, d: str) -> DataFrame:
     """Context for every probe: expanded queries, the best messages of the best conversations, cut to the budget."""
     best = assemble.diverse_messages(_found(spark, d), "probe_id", 6, 3)
     rows = retrieve.top_rows(best, ["probe_id"], [F.desc("score"), F.asc("chunk_id")], 18)
+    texts = table(spark, d, "retrieval_chunks").groupBy(F.col("id").alias("chunk_id")).agg(F.min("text").alias("text"))
+    rows = rows.select("probe_id", "place", "message_id", "chunk_id").join(texts, "chunk_id")  # only what was chosen
     out = assemble.broad(rows.select("probe_id", "place", "message_id", "text"), "probe_id", 300)
     return out.select("probe_id", "message_id", F.col("place").cast("long").alias("place"), "text", F.col("tokens").cast("long").alias("tokens"))
 

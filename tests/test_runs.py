@@ -135,3 +135,25 @@ def test_sparse_forms_agree_and_no_pair_leaves_a_lane_beyond_the_first(spark):
     for name, terms in asked:
         want = sorted(((*_sparse_plain(terms, t), k) for k, t in rows), key=lambda x: (-x[0], x[2]))[:5]
         assert [each[0][name, n + 1] for n in range(5)] == [(k, pytest.approx(s), m) for s, m, k in want]
+
+
+def test_contexts_carry_texts_of_chosen_messages_only(spark, tmp_path):
+    from stratalog.plans import context as plans
+
+    words = "night train storage room reading list oven dough window frame".split()
+    put = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    put("real_probes", [("p#1", "night train storage room"), ("p#2", "oven window")], "probe_id string, query string")
+    put("retrieval_chunks", [(f"c{n:02d}", f"b{n:02d}", " ".join(words[n % 5 : n % 5 + 4])) for n in range(40)], "id string, block_id string, text string")
+    put("blocks", [(f"b{n:02d}", f"m{n:02d}") for n in range(40)], "id string, message_id string")
+    put("messages", [(f"m{n:02d}", f"v{n % 8}") for n in range(40)], "id string, conversation_id string")
+    plan = plans._found(spark, str(tmp_path))
+    assert "text" not in plan.columns
+    got = {}
+    for r in plans.construct_archive_context(spark, str(tmp_path)).collect():
+        got.setdefault(r["probe_id"], []).append((r["place"], r["message_id"], r["text"]))
+    assert set(got) == {"p#1", "p#2"}
+    for rows in got.values():
+        ids = [m for _, m, _ in sorted(rows)]
+        assert len(ids) == len(set(ids)) and len({f"v{int(m[1:]) % 8}" for m in ids}) <= 6
+        assert all(t == " ".join(words[int(m[1:]) % 5 : int(m[1:]) % 5 + 4]) for _, m, t in rows)
+    assert [m for _, m, _ in sorted(got["p#1"])][0] == "m00"  # all four terms of the question

@@ -139,9 +139,10 @@ def temporal_edges(spark: SparkSession, d: str) -> DataFrame:
 
 def _members(spark: SparkSession, d: str) -> DataFrame:
     """(group_type, group_id, chunk_id): every chunk in its conversation and in its project, with or without a vector."""
-    c = chunks(spark, d).select(F.col("id").alias("chunk_id"), "block_id").distinct()
+    c = table(spark, d, "retrieval_chunks").select(F.col("id").alias("chunk_id"), "block_id").distinct()
     v = table(spark, d, "conversations").select(F.col("id").alias("conversation_id"), "project_id").distinct()
-    rows = c.join(_placed(spark, d).select("block_id", "conversation_id").distinct(), "block_id").join(v, "conversation_id", "left")
+    b, m = table(spark, d, "blocks").select(F.col("id").alias("block_id"), "message_id").distinct(), table(spark, d, "messages").select(F.col("id").alias("message_id"), "conversation_id").distinct()
+    rows = c.join(b.join(m, "message_id").select("block_id", "conversation_id").distinct(), "block_id").join(v, "conversation_id", "left")
     return graph.memberships(rows, "chunk_id", {"conversation": "conversation_id", "project": "project_id"})
 
 

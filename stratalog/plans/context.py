@@ -11,7 +11,7 @@ from ..operators import assemble, context, graph, retrieve
 from ..sources.tables import table
 from .archive import _MEMBERS, _TEMP, _members, temporal_edges
 from .registry import query
-from .retrieval import _SPARSE, chunk_term_lists, chunk_terms
+from .retrieval import _SPARSE, chunk_term_lists
 
 BUDGET = 600  # tokens of a pack
 
@@ -37,22 +37,32 @@ f AS (SELECT probe_id, block_id, score, path, tokens, rn, tokens AS used, true A
 SELECT probe_id, block_id, round(score, 6) AS score, ['{context.DIRECT}', '{context.MEMBER}', '{context.NEIGHBOUR}'][path + 1] AS path, CAST(tokens AS BIGINT) AS tokens FROM f WHERE taken"""
 
 
+def _node_terms(spark: SparkSession, d: str, members: DataFrame) -> DataFrame:
+    """(node_id, terms, weights): the 50 heaviest terms of each node of members (node_id, chunk_id), by their largest share of a chunk's terms.
+
+    A chunk's terms are counted where its text was gathered and then go to all its nodes, so that no postings are shuffled by chunk.
+    """
+    of = members.groupBy("chunk_id").agg(F.array_sort(F.collect_set("node_id")).alias("nodes"))  # a conversation and a project
+    lists = chunk_term_lists(spark, d).join(of, "chunk_id").select("chunk_id", "nodes", F.size("terms").alias("all"), F.explode("terms").alias("term"))
+    shares = lists.groupBy("chunk_id", "nodes", "all", "term").agg(F.count("*").alias("n"))
+    top = graph.top_terms(shares.select(F.explode("nodes").alias("node_id"), "term", (F.col("n") / F.col("all")).alias("weight")), ["node_id"], 50)
+    packed = top.groupBy("node_id").agg(F.collect_list(F.struct("term", "weight")).alias("t"))
+    return packed.select("node_id", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights"))
+
+
 @query(_PACK)
 def context_pack(spark: SparkSession, d: str) -> DataFrame:
     """The context pack of every probe, scored by terms: direct hits, members of conversations and projects, neighbours."""
     asked = table(spark, d, "real_probes").select(F.col("probe_id").alias("query"), V.terms(F.col("query")).alias("terms"))
     chunk_block = table(spark, d, "retrieval_chunks").select(F.col("id").alias("chunk_id"), "block_id").distinct()
+    members = _members(spark, d).withColumn("node_id", _node_key())
+    nodes = retrieve.sparse_neighbours(asked, _node_terms(spark, d, members), "query", "node_id", "terms", 5, weights="weights").select("query", "node_id", (F.col("score") * 0.35).alias("score"))
     hits = retrieve.sparse_neighbours(asked, chunk_term_lists(spark, d), "query", "chunk_id", "terms", 10)
     direct = hits.join(chunk_block, "chunk_id").groupBy("query", "block_id").agg(F.max(F.col("score") * 0.35).alias("score"))
-    members = _members(spark, d).withColumn("node_id", _node_key())
-    pooled = graph.top_terms(members.join(chunk_terms(spark, d), "chunk_id"), ["node_id"], 50)
-    weights = retrieve.term_weights(table(spark, d, "real_probes").select(F.col("probe_id").alias("query"), F.col("query").alias("text")).distinct(), "query", "text")
-    scored = retrieve.sparse_scores(weights, pooled.select("node_id", "term", "weight"), "query", "node_id").select("query", "node_id", (F.round("score", 9) * 0.35).alias("score"))
-    nodes = retrieve.top_rows(scored, ["query"], [F.desc("score"), F.asc("node_id")], 5)
     sizes = table(spark, d, "blocks").select(F.col("id").alias("block_id"), F.greatest(F.lit(1), F.floor((F.col("source_char_end") - F.col("source_char_start") + 3) / 4)).cast("long").alias("tokens")).distinct()
     own = members.join(chunk_block, "chunk_id").select("node_id", "block_id").distinct().join(sizes, "block_id").withColumn("weight", F.lit(1.0))
     edges = temporal_edges(spark, d).select("src", "dst", F.col("score").alias("weight"))
-    pack = context.context_pack(direct, nodes.select("query", "node_id", "score"), own, edges, sizes, BUDGET)
+    pack = context.context_pack(direct, nodes, own, edges, sizes, BUDGET)
     return pack.select(F.col("query").alias("probe_id"), "block_id", F.round("score", 6).alias("score"), "path", "tokens")
 
 

@@ -157,3 +157,17 @@ def test_contexts_carry_texts_of_chosen_messages_only(spark, tmp_path):
         assert len(ids) == len(set(ids)) and len({f"v{int(m[1:]) % 8}" for m in ids}) <= 6
         assert all(t == " ".join(words[int(m[1:]) % 5 : int(m[1:]) % 5 + 4]) for _, m, t in rows)
     assert [m for _, m, _ in sorted(got["p#1"])][0] == "m00"  # all four terms of the question
+
+
+def test_weighted_terms_are_searched_like_joined_postings(spark):
+    r = random.Random(6)
+    words = [f"w{n}" for n in range(30)]
+    rows = [(f"n{k:03d}", [(w, r.random()) for w in r.sample(words, r.randint(1, 12))]) for k in range(300)]
+    asked = [(f"q{k}", [r.choice(words) for _ in range(r.randint(1, 6))]) for k in range(15)]
+    df = spark.createDataFrame([(k, [w for w, _ in t], [x for _, x in t]) for k, t in rows], "k string, t array<string>, w array<double>")
+    q = spark.createDataFrame(asked, "q string, t array<string>")
+    got = {(x["q"], x["place"]): (x["k"], x["score"], x["shared"]) for x in retrieve.sparse_neighbours(q, df, "q", "k", "t", 5, 90, weights="w").collect()}
+    weights = spark.createDataFrame([(k, w, t.count(w) / len(t)) for k, t in asked for w in set(t)], "q string, term string, weight double")
+    postings = spark.createDataFrame([(k, w, x) for k, t in rows for w, x in t], "k string, term string, weight double")
+    want = retrieve.top_rows(retrieve.sparse_scores(weights, postings, "q", "k").withColumn("score", F.round("score", 9)), ["q"], [F.desc("score"), F.asc("k")], 5).collect()
+    assert got == {(x["q"], x["place"]): (x["k"], pytest.approx(x["score"], abs=2e-9), x["shared"]) for x in want}
